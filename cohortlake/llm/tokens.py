@@ -24,6 +24,13 @@ _WORD = re.compile(rf"[{_LETTERS}]++(?={_AFTER})|[^ \t\n\r]+")
 KEEP = 300_000
 
 
+def cut_chunks(text: str) -> list[str] | None:
+    """Chunks that a byte-level vocabulary encodes one by one; None for a text with odd white space."""
+    if (not text.isascii() or not text.isprintable()) and _ODD.search(text):
+        return None
+    return _CHUNK.findall(text)
+
+
 class Encoder:
     """ids(texts): for each text, its ids as little-endian unsigned 32-bit integers."""
 
@@ -42,10 +49,12 @@ class Encoder:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _chunks(self, text: str) -> list[str] | None:
-        if (not text.isascii() or not text.isprintable()) and _ODD.search(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return None
         if self.blanks:
-            return _CHUNK.findall(text)
+            return cut_chunks(text)
+        if (not text.isascii() or not text.isprintable()) and _ODD.search(text):
+            return None
         return _WORD.findall(text.lower() if text.isascii() else text)
 
     def _learn(self, words: list[str]) -> None:
