@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rans
+from . import mixing, rans
 from .bpe_count import token_counts
 from .common import table
 from .isomedia import media_digests
@@ -17,6 +17,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read(rans.write(table(spark, sf_dir, "documents")))
 
@@ -34,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_source_mixing": mixing.SQL}
