@@ -293,4 +293,7 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier does not reject."""
-    return scored(docs, train(docs, labels), "_quality_score").filter(F.col("_quality_score") >= THRESHOLD).select(*docs.columns)
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, train(docs, labels), name).filter(F.col(name) >= THRESHOLD).select(*docs.columns)

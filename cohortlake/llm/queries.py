@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, kdsearch, mixing, quality, rans, simhash
+from . import chat, kdsearch, mixing, pii, quality, rans, simhash
 from .bpe_count import token_counts
 from .common import table
 from .isomedia import media_digests
@@ -25,6 +25,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdsearch.top_k(table(spark, sf_dir, "embeddings"))
 
