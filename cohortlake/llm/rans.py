@@ -62,19 +62,25 @@ def encode(ids: np.ndarray, docs: list[int | None], lengths: list[int], lanes: i
     fill[:n] = index
     grid = fill.reshape(blocks, steps, lanes).transpose(1, 0, 2).reshape(steps, blocks * lanes)
     f64, c64 = freq.astype(np.uint64), low.astype(np.uint64)
-    limit = f64 << np.uint64(63 - SCALE)
+    scale, half, room = np.uint64(SCALE), np.uint64(32), np.uint64(63 - SCALE)
     x = np.full(blocks * lanes, LOW, dtype=np.uint64)
     words: list[np.ndarray] = []
     per = np.zeros((steps, blocks), dtype=np.int64)
     for s in range(steps - 1, -1, -1):
         row = grid[s]
-        f = f64[row]
-        over = x >= limit[row]
-        words.append(x[over].astype(np.uint32))
+        f = f64.take(row)
+        over = x >= f << room
+        at = np.flatnonzero(over)
+        full = x[at]
+        words.append(full.astype(np.uint32))
+        x[at] = full >> half
         per[s] = np.add.reduce(over.reshape(blocks, lanes), axis=1)
-        np.right_shift(x, np.uint64(32), out=x, where=over)
         q = x // f
-        x = (q << np.uint64(SCALE)) + (x - q * f) + c64[row]
+        f *= q
+        x -= f
+        q <<= scale
+        x += q
+        x += c64.take(row)
     stream = np.concatenate(words[::-1])
     owner = np.repeat(np.tile(np.arange(blocks, dtype=np.uint16), steps), per.ravel())
     stream = stream[np.argsort(owner, kind="stable")]
@@ -139,18 +145,22 @@ def _unwind(data: bytes, body: int, places: np.ndarray, symbols: np.ndarray, fre
     symbol_at = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
     f64, c64 = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
     out = np.empty((steps, blocks * lanes), dtype=np.int32)
-    mask, scale = np.uint64((1 << SCALE) - 1), np.uint64(SCALE)
+    mask, scale, half = np.uint64((1 << SCALE) - 1), np.uint64(SCALE), np.uint64(32)
     for s in range(steps):
         slot = x & mask
-        sym = symbol_at[slot]
+        sym = symbol_at.take(slot.view(np.int64))
         out[s] = sym
-        x = f64[sym] * (x >> scale) + slot - c64[sym]
+        sym = sym.astype(np.int64)
+        x >>= scale
+        x *= f64.take(sym)
+        x += slot
+        x -= c64.take(sym)
         need = x < LOW
-        grid = need.reshape(blocks, lanes)
-        rank = np.cumsum(grid, axis=1)
-        place = (rank - 1 + next_[:, None])[grid]
-        x[need] = (x[need] << np.uint64(32)) | words[place]
-        next_ = next_ + rank[:, -1]
+        count = np.add.reduce(need.reshape(blocks, lanes), axis=1)
+        at = np.flatnonzero(need)
+        word = words[np.arange(len(at)) + np.repeat(next_ - (np.cumsum(count) - count), count)]
+        x[at] = (x[at] << half) | word
+        next_ = next_ + count
     return symbols[out.reshape(steps, blocks, lanes).transpose(1, 0, 2).reshape(blocks, steps * lanes)]
 
 
