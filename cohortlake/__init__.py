@@ -1,0 +1 @@
+"""Group-time average treatment effects and related panel operators on Spark DataFrames."""
