@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Texts are handed to a batch function in slices of about so many bytes.
 SLICE_BYTES = 4 << 20
+#: Short rows that one staged file holds, about.
+FILE_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,12 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
-def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 
-    Later stages then start from files that outlive any executor; nothing upstream is computed twice.
+    Later stages then start from files that outlive any executor; nothing upstream is computed twice. rows: how many
+    (short) rows there are at most, where that is known: they go to a file for each FILE_ROWS, not to one for each partition.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, rows // FILE_ROWS))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = staged(edges, "edges")
     state = _state(edges)
     while state[0]:
-        edges = staged(_small(_large(edges)), "stars")
+        edges = staged(_small(_large(edges)), "stars", rows=state[0])
         before, state = state, _state(edges)
         if before == state:
             break

@@ -235,9 +235,11 @@ def links(fps: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame:
     """a, b: edges that connect just what links connect. fps: fp, distinct."""
     n, gram = bit_moments(fps)
     rows = listed(fps, plan(n, gram, radius))
-    hot = staged(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > full), "hot")
-    many = len(hot.limit(SMALL + 1).collect())
-    if many:
+    hot = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > full)
+    first = hot.limit(SMALL + 1).collect()
+    if first:
+        many = len(first)
+        hot = hot if many > SMALL else fps.sparkSession.createDataFrame([(r["key"], r["n"]) for r in first], "key long, n long")
         # block pairs (i, j) of a hot bucket: each row goes to all pairs with its own block
         blocks = F.ceil(F.col("n") / full).cast("long")
         own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
@@ -272,7 +274,7 @@ def links(fps: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame:
 def near_duplicates(found: DataFrame, radius: int = RADIUS) -> DataFrame:
     """row, doc_id, fp, root, component_id of every row of ``fingerprinted``."""
     rows = found.select("row", "doc_id", "fp")
-    fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", rows=rows.count())
     roots = components(links(fps, radius))
     linked = fps.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("of_class"))
