@@ -5,8 +5,8 @@ vectors, the least id among them, and so a bound on any inner product with a que
 first and a search ends when no bound can beat the kth result. Queries search their own shard first; its kth result
 goes with them to all other shards, in blocks of queries by shards.
 
-Components become floor(scale * x). Vectors that are null, or hold a null, non-finite or (scaled) beyond 2**53 component,
-take no part; vectors meet only those of equal length; an empty vector scores 0. A query's own row is that of its
+Components become floor(scale * x). Vectors that are null, or hold a null or non-finite component, or one so large that
+products could leave 63 bits, take no part; vectors meet only those of equal length; an empty vector scores 0. A query's own row is that of its
 vec_id: rows with one vec_id do not find each other, and each of them, repeated rows too, is searched for itself once.
 Ties go to the smaller id. Rows without vec_id are left out. An empty table gives no rows; further columns are ignored.
 """
@@ -114,7 +114,7 @@ def scaled(df: DataFrame, scale: int = SCALE) -> DataFrame:
                 if not v.is_valid or v.values.null_count:
                     continue
                 x = np.floor(scale * v.values.to_numpy())
-                if np.isfinite(x).all() and (np.abs(x) <= 2**53).all():
+                if np.isfinite(x).all() and len(x) * np.abs(x).max(initial=0) ** 2 < 2**63:  # so every product fits a long
                     row.append(r)
                     vec_id.append(i)
                     vec.append(x.tobytes())

@@ -161,6 +161,8 @@ def _unwind(data: bytes, body: int, places: np.ndarray, symbols: np.ndarray, fre
         word = words[np.arange(len(at)) + np.repeat(next_ - (np.cumsum(count) - count), count)]
         x[at] = (x[at] << half) | word
         next_ = next_ + count
+    if (x != LOW).any():
+        raise ValueError("a lane does not end where it began")
     return symbols[out.reshape(steps, blocks, lanes).transpose(1, 0, 2).reshape(blocks, steps * lanes)]
 
 
