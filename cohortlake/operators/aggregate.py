@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .local import small_table
+
 TYPES = ("simple", "event", "cohort", "time")
 #: What identifies a row of each type; overall rows and simple have nothing.
 FIELD = {"simple": None, "event": "relative_period", "cohort": "cohort", "time": "time"}
@@ -101,8 +103,8 @@ def influence(found: list[Aggregate], psi: DataFrame, units: DataFrame) -> DataF
     """agg_id, unit, psi of every aggregate. psi: sample, cell_id, unit, psi; units: sample, unit, g, s, w."""
     spark = psi.sparkSession
     s = units.schema["s"].dataType.simpleString()
-    cells = spark.createDataFrame([(k, a.sample, c, float(w)) for k, a in enumerate(found) for c, w in a.cells.items()], "agg_id int, sample string, cell_id int, weight double")
-    loads = spark.createDataFrame([(k, a.sample, g, st, float(v)) for k, a in enumerate(found) for (g, st), v in a.loads.items()], f"agg_id int, sample string, g int, s {s}, load double")
+    cells = small_table(spark, [(k, a.sample, c, float(w)) for k, a in enumerate(found) for c, w in a.cells.items()], "agg_id int, sample string, cell_id int, weight double")
+    loads = small_table(spark, [(k, a.sample, g, st, float(v)) for k, a in enumerate(found) for (g, st), v in a.loads.items()], f"agg_id int, sample string, g int, s {s}, load double")
     direct = psi.join(F.broadcast(cells), ["sample", "cell_id"]).select("agg_id", "unit", (F.col("psi") * F.col("weight")).alias("psi"))
     same = (units["sample"] == loads["sample"]) & (units["g"] == loads["g"]) & units["s"].eqNullSafe(loads["s"])
     shared = units.join(F.broadcast(loads), same).select("agg_id", "unit", (F.col("w") * F.col("load")).alias("psi"))

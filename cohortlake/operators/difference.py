@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .aggregate import Aggregate
+from .local import small_table
 
 
 @dataclass
@@ -92,7 +93,7 @@ def difference_influence(diffs: list[Difference], found: list[Aggregate], psi: D
     for k, d in enumerate(diffs):
         for agg, plus in ((d.first, 1.0), (d.second, -1.0)):
             rows.append((k, agg, plus * (d.n / n_total[found[agg].sample] if rescale else 1.0)))
-    weights = psi.sparkSession.createDataFrame(rows, "diff_id int, agg_id int, weight double")
+    weights = small_table(psi.sparkSession, rows, "diff_id int, agg_id int, weight double")
     met = psi.join(F.broadcast(weights), "agg_id")
     keys = ["diff_id", "unit"] if all(d.sample is not None for d in diffs) else ["diff_id", "agg_id", "unit"]
     return met.groupBy(*keys).agg(F.sum(F.col("psi") * F.col("weight")).alias("psi")).select("diff_id", F.col("unit"), "psi")

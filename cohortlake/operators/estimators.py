@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .local import small_table
+
 METHODS = ("dr-mle", "dr-ipt", "reg", "std_ipw-mle", "ipw-mle")
 ALIASES = {"dr": "dr-mle", "ipw": "ipw-mle", "std_ipw": "std_ipw-mle"}
 KEY = ["sample", "cell_id"]
@@ -121,7 +123,7 @@ def parameters(rows: DataFrame, values: dict[tuple, dict[str, object]], names: l
     kinds = [T.StructField(n, T.ArrayType(T.DoubleType()) if np.ndim(first[n]) else T.DoubleType()) for n in names]
     schema = T.StructType([T.StructField("sample", rows.schema["sample"].dataType), T.StructField("cell_id", rows.schema["cell_id"].dataType), *kinds])
     data = [(*key, *([float(a) for a in v[n]] if np.ndim(v[n]) else float(v[n]) for n in names)) for key, v in values.items()]
-    return spark.createDataFrame(data, schema)
+    return small_table(spark, data, schema)
 
 
 def _with(rows: DataFrame, params: DataFrame) -> DataFrame:

@@ -32,6 +32,8 @@ class Panel:
     #: number -> date, where times are timestamps.
     dates: dict[int, object] | None = None
     notes: list[str] = field(default_factory=list)
+    #: (time, cohort, rows) of df.
+    grid: list[tuple] = field(default_factory=list)
 
 
 def no_nan(df: DataFrame, column: str) -> Column:
@@ -109,23 +111,28 @@ def prepare(
     else:
         t, g = F.col(time).cast("int"), no_nan(data, cohort).cast("int")
     df = data.withColumns({"unit": F.col(entity), "t": t, "g": g})
-    r = df.agg(F.count("*").alias("n"), F.countDistinct("unit").alias("units"), F.min("t").alias("t0"), F.min("g").alias("g0"), F.count("g").alias("treated")).first()
-    if r["n"] == r["treated"] and r["g0"] == 0 and r["t0"] != 0:
+    per = df.groupBy("unit").agg(F.count("*").alias("n"), F.count("g").alias("k"), F.max("g").alias("g"), F.min("g").alias("g0"), F.min("t").alias("a"), F.max("t").alias("b"))
+    early, late = F.coalesce(F.col("g") <= F.col("a"), F.lit(False)), F.coalesce(F.col("g") > F.col("b"), F.lit(False))
+    s = per.agg(
+        F.sum("n").alias("n"),
+        F.count("*").alias("units"),
+        F.sum("k").alias("treated"),
+        F.min("g0").alias("g0"),
+        F.min("a").alias("t0"),
+        F.count_if(early).alias("early"),
+        F.count_if(late & ~early).alias("late"),
+        F.count_if(~early & (late | F.col("g").isNull())).alias("never"),
+        F.max(F.when(~early & ~late, F.col("g"))).alias("last"),
+        F.count_if((F.col("k") > 0) & ((F.col("k") < F.col("n")) | (F.col("g0") < F.col("g")))).alias("mixed"),
+    ).first()
+    if s["n"] == s["treated"] and s["g0"] == 0 and s["t0"] != 0:
         raise ValueError("never-treated entities must have a null cohort, not 0")
     notes: list[str] = []
     flag = False
-    is_panel = r["units"] != r["n"]
+    is_panel = s["units"] != s["n"] and s["units"] > 0
     if is_panel:
-        spans = with_spans(df)
-        per = spans.groupBy("unit").agg(F.first("g").alias("g"), F.first("first_t").alias("a"), F.first("last_t").alias("b"))
-        early, late = F.coalesce(F.col("g") <= F.col("a"), F.lit(False)), F.coalesce(F.col("g") > F.col("b"), F.lit(False))
-        s = per.agg(
-            F.count_if(early).alias("early"),
-            F.count_if(late & ~early).alias("late"),
-            F.count_if(~early & (late | F.col("g").isNull())).alias("never"),
-            F.max(F.when(~early & ~late, F.col("g"))).alias("last"),
-        ).first()
-        df = treated_after_to_never(drop_always_treated(spans))
+        if s["early"] or s["late"] or s["mixed"]:  # else every row has its entity's cohort, and no rule applies
+            df = treated_after_to_never(drop_always_treated(with_spans(df))).drop("first_t", "last_t")
         if s["early"]:
             notes.append(f"{s['early']} entities dropped: always treated (from before their first time)")
         if s["late"]:
@@ -134,7 +141,16 @@ def prepare(
         if flag:
             df = last_cohort_as_control(df, s["last"], anticipation)
             notes.append("no never treated entities: the last cohort is the comparison group, and only earlier times are kept")
-        df = df.drop("first_t", "last_t")
     for note in notes if warn else ():
         warnings.warn(note, stacklevel=3)
-    return Panel(df, entity, time, cohort, is_panel, is_balanced(df) if is_panel else False, flag, dates, notes)
+    grid = [(r["t"], r["g"], r["n"]) for r in df.groupBy("t", "g").agg(F.count("*").alias("n")).collect()]  # times x cohorts
+    sizes = row_counts(grid)
+    return Panel(df, entity, time, cohort, is_panel, is_panel and len(set(sizes.values())) <= 1, flag, dates, notes, grid)
+
+
+def row_counts(grid: list[tuple]) -> dict[int, int]:
+    """Rows of each time, from (time, cohort, rows)."""
+    out: dict[int, int] = {}
+    for t, _, n in grid:
+        out[t] = out.get(t, 0) + n
+    return out

@@ -13,6 +13,7 @@ from cohortlake.operators import aggregate as agg
 from cohortlake.operators import cells as planning
 from cohortlake.operators import difference as diff
 from cohortlake.operators import estimators, inference, xsection
+from cohortlake.operators.local import small_table
 from cohortlake.operators.panel import no_nan, prepare, time_varying
 
 FULL = "full_sample"
@@ -42,7 +43,9 @@ class ATTgt:
             raise ValueError("'anticipation' must be >= 0")
         self.entity_name, self.time_name = entity_name or data.columns[0], time_name or data.columns[1]
         self.cohort_name, self.strata_name, self.anticipation, self.freq = cohort_name, strata_name, anticipation, freq
-        self.panel = prepare(data, self.entity_name, self.time_name, cohort_name, anticipation, freq, cohort_data)
+        # every step below reads the data again: what made it is computed once
+        self._data = data.persist()
+        self.panel = prepare(self._data, self.entity_name, self.time_name, cohort_name, anticipation, freq, cohort_data)
         self.is_panel, self.is_balanced_panel = self.panel.is_panel, self.panel.is_balanced
         self._fitted = False
         self._kept: list[DataFrame] = []
@@ -53,9 +56,10 @@ class ATTgt:
     def group_time(self, feasible: bool = False) -> DataFrame:
         """The cells: cohort, base_period, time (, stratum)."""
         plan = planning.varying if self.base_period_type == "varying" else planning.universal
-        found = plan(self.panel.df, self.anticipation)
+        seen = small_table(self.panel.df.sparkSession, [(t, g) for t, g, _ in self.panel.grid], "t int, g int")
+        found = plan(seen, self.anticipation)
         if feasible:
-            found = planning.feasible(found, self.panel.df)
+            found = planning.feasible(found, seen)
         return planning.by_stratum(found, self.panel.df, self.strata_name) if self.strata_name else found
 
     def _covariates(self, names: list[str], columns: list[Column], df: DataFrame, base_delta: object) -> tuple[list[str], list[str]]:
@@ -113,21 +117,13 @@ class ATTgt:
         method = est_method if callable(est_method) else estimators.method_name(est_method)
         if boot_iterations < 0:
             raise ValueError("'boot_iterations' must be >= 0")
-        self.close()
+        self._drop_kept()
         y_name, right = split_formula(formula)
         df, strata = self.panel.df, self.strata_name
         plan = design(df, right)
         used = [c for c in dict.fromkeys([*plan.used, *([y_name] if y_name in df.columns else [])])]
-        whole = df
         if used:
-            df = df.select(*(no_nan(df, c).alias(c) if c in used else F.col(c) for c in df.columns)).dropna(subset=used)
-        rows_before = rows_after = None
-        balanced = self.is_balanced_panel
-        if self.is_panel and balanced and used:
-            rows_before, rows_after = whole.count(), df.count()
-            if rows_before != rows_after:
-                r = df.groupBy("t").count().agg(F.min("count"), F.max("count")).first()
-                balanced = r[0] == r[1]
+            df = df.select(*(no_nan(df, c).alias(c) if c in used else F.col(c) for c in df.columns)).dropna(subset=used)  # unbalanced rows then meet no partner
         cross = not self.is_panel or (not self.is_balanced_panel if as_repeated_cross_section is None else bool(as_repeated_cross_section))
         clusters = [cluster_var] if isinstance(cluster_var, str) else list(cluster_var or [])
         clusters = [c for c in clusters if c != self.entity_name]
@@ -167,7 +163,7 @@ class ATTgt:
         found_cells = sorted((tuple(r[n] for n in names) for r in cell_rows.select(*names).collect()), key=lambda r: (str(r[3]) if strata else "", r[0], r[2]))  # cohorts x times x strata
         stratum_type = values.schema["s"].dataType.simpleString()
         spark = df.sparkSession
-        small = spark.createDataFrame([(k, *c, *([] if strata else [None])) for k, c in enumerate(found_cells)], f"cell_id int, cohort int, base_period int, time int, stratum {stratum_type}")
+        small = small_table(spark, [(k, *c, *([] if strata else [None])) for k, c in enumerate(found_cells)], f"cell_id int, cohort int, base_period int, time int, stratum {stratum_type}")
         work = small.filter("base_period <> time")
         units = values.groupBy("sample", "unit").agg(F.max("g").alias("g"), F.max("s").alias("s"), F.min_by("w", "t").alias("w"), *([F.first("cluster").alias("cluster")] if clusters else [])) if by_unit else values.select("sample", "unit", "g", "s", "w", *(["cluster"] if clusters else []))
         totals = {r["sample"]: r["n"] for r in units.groupBy("sample").agg(F.count("*").alias("n")).collect()}  # samples
@@ -199,7 +195,7 @@ class ATTgt:
         if psi is None:
             psi = spark.createDataFrame([], f"sample string, cell_id int, unit {values.schema['unit'].dataType.simpleString()}, psi double")
         elif att:
-            scale = spark.createDataFrame([(*key, totals[key[0]] / n) for key, (_, n) in att.items()], "sample string, cell_id int, scale double")
+            scale = small_table(spark, [(*key, totals[key[0]] / n) for key, (_, n) in att.items()], "sample string, cell_id int, scale double")
             psi = psi.join(F.broadcast(scale), ["sample", "cell_id"]).withColumn("psi", F.col("psi") * F.col("scale")).drop("scale")
         if cross and self.is_panel:
             psi = psi.groupBy("sample", "cell_id", "unit").agg(F.sum("psi").alias("psi"))
@@ -220,12 +216,16 @@ class ATTgt:
         out = self.results()
         return out
 
-    def close(self) -> None:
-        """Gives back what fit holds in memory."""
+    def _drop_kept(self) -> None:
         for df in self._kept:
             df.unpersist()
         self._kept = []
 
+    def close(self) -> None:
+        """Gives back what the model holds in memory."""
+        self._drop_kept()
+        self._data.unpersist()
+
     # -- output -----------------------------------------------------------------------------------------------------
 
     def _need_fit(self) -> None:
@@ -285,8 +285,8 @@ class ATTgt:
         spark = self.panel.df.sparkSession
         kind = self._units.schema["s"].dataType.simpleString()
         rows = [(k, c["sample"], c["stratum"], c["cohort"], c["base_period"], c["time"], c["att"], c["n_sample"], c["n_total"], c["error"]) for k, c in enumerate(self._cells)]
-        table = spark.createDataFrame(rows, f"row_id int, sample_name string, stratum {kind}, cohort int, base_period int, time int, ATT double, n_sample long, n_total long, exception string")
-        ids = spark.createDataFrame([(c["sample"], c["cell_id"], k) for k, c in enumerate(self._cells)], "sample string, cell_id int, row_id int")
+        table = small_table(spark, rows, f"row_id int, sample_name string, stratum {kind}, cohort int, base_period int, time int, ATT double, n_sample long, n_total long, exception string")
+        ids = small_table(spark, [(c["sample"], c["cell_id"], k) for k, c in enumerate(self._cells)], "sample string, cell_id int, row_id int")
         psi = self._psi.join(F.broadcast(ids), ["sample", "cell_id"]).select("row_id", "unit", "psi")
         n = {k: c["n_total"] for k, c in enumerate(self._cells) if c["att"] is not None}
         out = self._inferred(table, psi, "row_id", n, self._alpha, self._boot, self._seed, self._clusters()).drop("row_id")
@@ -334,7 +334,7 @@ class ATTgt:
             clusters = self.panel.df.groupBy("unit").agg(F.first(name).alias("cluster")) if name else None
         field = agg.FIELD.get(type_of_aggregation) if not overall else None
         if not difference:
-            table = spark.createDataFrame([(k, a.sample, a.stratum, a.value, a.att, self._totals[a.sample]) for k, a in enumerate(found)], f"agg_id int, sample_name string, stratum {kind}, value int, ATT double, n_total long")
+            table = small_table(spark, [(k, a.sample, a.stratum, a.value, a.att, self._totals[a.sample]) for k, a in enumerate(found)], f"agg_id int, sample_name string, stratum {kind}, value int, ATT double, n_total long")
             n = {k: self._totals[a.sample] for k, a in enumerate(found)}
             out = self._inferred(table, psi, "agg_id", n, alpha, boot_iterations, random_state, clusters).drop("agg_id", "n_total")
         else:
@@ -343,7 +343,7 @@ class ATTgt:
             cells = type_of_aggregation is None
             rows = [(k, d.label, d.sample, d.stratum, *(d.value if cells else (d.value,)), d.att, d.n) for k, d in enumerate(diffs)]
             values = "cohort int, base_period int, time int" if cells else "value int"
-            table = spark.createDataFrame(rows, f"diff_id int, difference_between string, sample_name string, stratum {kind}, {values}, ATT double, n_total long")
+            table = small_table(spark, rows, f"diff_id int, difference_between string, sample_name string, stratum {kind}, {values}, ATT double, n_total long")
             out = self._inferred(table, apart, "diff_id", {k: d.n for k, d in enumerate(diffs)}, alpha, boot_iterations, random_state, clusters).drop("diff_id", "n_total")
         if "value" in out.columns:
             out = out.withColumnRenamed("value", field) if field else out.drop("value")
