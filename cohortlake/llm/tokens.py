@@ -21,7 +21,7 @@ _LETTERS, _AFTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"[ \t\n\r.,
 _CHUNK = re.compile(rf" ?[{_LETTERS}]++(?={_AFTER})| ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]")
 _WORD = re.compile(rf"[{_LETTERS}]++(?={_AFTER})|[^ \t\n\r]+")
 #: Chunks kept by a worker, twice at most.
-KEEP = 300_000
+KEEP = 450_000
 
 
 def cut_chunks(text: str) -> list[str] | None:
