@@ -7,7 +7,7 @@ Blocks of one file are coded side by side as one wide vector.
 
 ``write`` deals documents out by ranges of doc_id and writes files in ascending order, as rows of a Parquet table in
 the shared folder; ``read`` decodes them. Null text reads as empty (the end token alone); null doc_ids come first; rows
-with one doc_id are ordered by text. An empty table gives no files. Further columns are ignored.
+with one doc_id are ordered by text and coded in one task, file by file. An empty table gives no files. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ LOW = np.uint64(1 << 31)
 LANES, STEPS = 512, 512
 #: A file is closed at the first document that brings it to so many ids.
 FILE_IDS = 1 << 22
+#: Documents of a range, about; each range makes a file at least.
+PART_ROWS = 4096
 _HEAD = struct.Struct("<8sQQIIIIII")
 
 
@@ -193,7 +195,8 @@ def write(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, file_id
         if names:
             yield closed()
 
-    dealt = as_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    parts = max(1, docs.count() // PART_ROWS)
+    dealt = as_text(docs).repartitionByRange(parts, "doc_id").coalesce(parts).sortWithinPartitions("doc_id", "text")
     return staged(dealt.mapInArrow(run, "part int, file int, before long, n_ids long, data binary"), "ids", "none")
 
 
