@@ -18,6 +18,11 @@ F2 = f"""p0 AS (
 F3 = f"""p0 AS (
   SELECT o_orderkey AS e, year(o_orderdate)::INT AS t, {COHORT.format(k="c_nationkey")} AS g, o_totalprice::DOUBLE AS y, (o_custkey // 8 % 2)::INT AS x, 1.0::DOUBLE AS w, 0 AS s
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
+#: Weeks are numbered from 1000.
+F4 = """first AS (SELECT min(date_trunc('week', ts)) AS w0 FROM events), p0 AS (
+  SELECT user_id AS e, (1000 + date_diff('day', any_value(w0), date_trunc('week', ts)) // 7)::INT AS t,
+         (CASE WHEN user_id % 4 > 0 THEN 1000 + date_diff('day', any_value(w0), DATE '2024-01-01') // 7 + user_id % 4 END)::INT AS g, avg(value)::DOUBLE AS y, 0 AS x, 1.0::DOUBLE AS w, 0 AS s
+  FROM events, first GROUP BY user_id, date_trunc('week', ts))"""
 #: Always-treated entities go, and those treated after their own last time are never treated.
 RULES = """spans AS (SELECT *, max(g) OVER (PARTITION BY e) AS gg, min(t) OVER (PARTITION BY e) AS a, max(t) OVER (PARTITION BY e) AS b FROM p0),
 p AS (SELECT e, t, CASE WHEN gg <= b THEN gg END AS g, y, x, w, s FROM spans WHERE gg IS NULL OR gg > a)"""
@@ -78,6 +83,12 @@ FROM cells LEFT JOIN att USING (cg, base, tt) LEFT JOIN se USING (cg, base, tt)"
     return panel(out=out).replace(cells(), cells(universal=True))
 
 
+def dated() -> str:
+    day = lambda c: f"strftime((SELECT w0 FROM first) + to_days(7 * ({c} - 1000)::INT), '%Y-%m-%d')"
+    out = f"SELECT {day('cg')} AS cohort, {day('base')} AS base_period, {day('tt')} AS time, round(att, 4) AS att, round(se, 4) AS std_error FROM att JOIN se USING (i, cg, base, tt)"
+    return panel(F4, RULES, out=out)
+
+
 #: One covariate x (q) besides the constant: two normal equations.
 def regression() -> str:
     return build(
@@ -210,6 +221,18 @@ FROM aa x JOIN aa z ON x.v = z.v AND x.i = 0 AND z.i = 1"""
     return by_strata(kind, out=out)
 
 
+def difference_both(kind: str) -> str:
+    """Stratum 0 of the sample h = 0 less stratum 1 of the sample h = 1; i is 10 h + stratum."""
+    out = f"""SELECT 'h = 0, 0 - h = 1, 1' AS difference_between, x.v::INT AS {'relative_period' if kind == 'event' else kind}, round(x.att - z.att, 4) AS att,
+       round(sqrt((SELECT sum(psi * psi) FROM ap WHERE ap.v = x.v AND i IN (0, 11))) / (SELECT sum(n) FROM n WHERE i IN (0, 11)), 4) AS std_error
+FROM aa x JOIN aa z ON x.v = z.v AND x.i = 0 AND z.i = 11"""
+    share = "share AS (SELECT i, g AS cg, count(*) / any_value(n.n) AS sh FROM un JOIN n USING (i) WHERE g IS NOT NULL GROUP BY i, g)"
+    fixture = F1.replace("(1 + (l_suppkey", "(l_suppkey % 3 = 0)::INT AS h, (1 + (l_suppkey")
+    sql = strata_rows(panel(fixture, key="(a.h * 10 + st)", more=("un AS (SELECT DISTINCT a.h * 10 + a.s AS i, a.e, a.g FROM p a)", share, _agg(kind, False)), out=out))
+    counted = "n AS (SELECT h * 10 + s AS i, any_value(m) AS n FROM (SELECT DISTINCT h, s FROM p) JOIN (SELECT h, count(DISTINCT e) AS m FROM p GROUP BY h) USING (h) GROUP BY h, s)"
+    return sql.replace("n AS (SELECT i, count(DISTINCT e) AS n FROM (SELECT (a.h * 10 + st) AS i, a.e FROM p a WHERE true) GROUP BY i)", counted)
+
+
 def difference_cells() -> str:
     out = """SELECT x.cg AS cohort, x.base AS base_period, x.tt AS time, round(x.att - z.att, 4) AS att,
        round(sqrt((SELECT sum(psi * psi) FROM psi s WHERE s.cg = x.cg AND s.base = x.base AND s.tt = x.tt)) / (SELECT sum(n) FROM n), 4) AS std_error

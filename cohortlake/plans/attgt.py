@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,8 @@ from cohortlake.operators.panel import no_nan, prepare, time_varying
 
 FULL = "full_sample"
 BASES = {"var": "varying", "uni": "universal"}
+#: Cells are planned and solved on the driver and broadcast: a row for each, so many at most.
+MOST_CELLS = 200_000
 CONTROLS = {"nev": "never_treated", "not": "not_yet_treated"}
 
 
@@ -76,12 +79,18 @@ class ATTgt:
             delta = varying if delta is None else list(delta)
             if missing := [n for n in base + delta if n not in bare]:
                 raise ValueError(f"{missing} missing from the design")
+            if fixed := [n for n in delta if n not in varying]:
+                warnings.warn(f"{fixed} do not vary over time: their changes are left out", stacklevel=3)
             delta = [n for n in delta if n in varying]
+            if left := [n for n in bare if n not in base + delta]:
+                warnings.warn(f"{left} are in the formula but neither in base nor in delta: left out", stacklevel=3)
         else:
             want = [base_delta] if isinstance(base_delta, str) else list(base_delta)
             if bad := [x for x in want if x not in ("base", "delta")]:
                 raise ValueError(f"base_delta: unknown {bad}")
             base, delta = (bare if "base" in want else []), varying
+            if left := [n for n in bare if n not in base + delta]:
+                warnings.warn(f"{left} do not vary over time: left out", stacklevel=3)
         return [INTERCEPT] * (INTERCEPT in names) + base, delta
 
     # -- estimation -------------------------------------------------------------------------------------------------
@@ -161,6 +170,8 @@ class ATTgt:
             cell_rows = planning.chosen(cell_rows, **filter_cells)
         names = ["cohort", "base_period", "time", *(["stratum"] if strata else [])]
         found_cells = sorted((tuple(r[n] for n in names) for r in cell_rows.select(*names).collect()), key=lambda r: (str(r[3]) if strata else "", r[0], r[2]))  # cohorts x times x strata
+        if len(found_cells) > MOST_CELLS:
+            raise ValueError(f"{len(found_cells)} cells: choose some with filter_cells, or coarser times")
         stratum_type = values.schema["s"].dataType.simpleString()
         spark = df.sparkSession
         small = small_table(spark, [(k, *c, *([] if strata else [None])) for k, c in enumerate(found_cells)], f"cell_id int, cohort int, base_period int, time int, stratum {stratum_type}")

@@ -210,7 +210,7 @@ _aggregate_query("diff_strata", sql.difference_strata("event"), "event", ("relat
 _aggregate_query("diff_cells", sql.difference_cells(), None, CELL, fit={"split_sample_by": "s"}, difference=True)
 
 
-@query("diff_both")
+@query("diff_both", sql.difference_both("event"))
 def diff_both(spark: SparkSession, d: str) -> DataFrame:
     model = ATTgt(suppliers(spark, d).withColumn("h", (F.col("e") % 3 == 0).cast("int")), "g", strata_name="s", entity_name="e", time_name="year")
     model.fit("y", est_method="reg", split_sample_by="h")
@@ -319,10 +319,10 @@ def binned_dummies(spark: SparkSession, d: str) -> DataFrame:
 # -- timestamps, streams, simulation, callers' estimators
 
 
-@query("attgt_datetime")
+@query("attgt_datetime", sql.dated())
 def attgt_datetime(spark: SparkSession, d: str) -> DataFrame:
     found = ATTgt(weeks(spark, d), "g", entity_name="e", time_name="week", freq="W-MON").fit("y", est_method="reg", as_repeated_cross_section=False)
-    return _effects(found, *CELL)
+    return _effects(found.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in CELL}), *CELL)
 
 
 @query("stream_weekly_means", "SELECT user_id, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(value) AS n, round(avg(value), 6) AS y FROM events GROUP BY 1, 2")
