@@ -26,10 +26,13 @@ def _small(edges: DataFrame) -> DataFrame:
     return least.select("u", F.col("m").alias("v")).unionByName(moved).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node of its component) for every node of edges (a, b long). Loops are ignored."""
+def components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
+    """node, root (the least node of its component) for every node of edges (a, b long). Loops are ignored.
+
+    nodes: how many there are at most, where that is known; it sets the number of staged files.
+    """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = staged(edges, "edges")
+    edges = staged(edges, "edges", rows=nodes)
     state = _state(edges)
     while state[0]:
         edges = staged(_small(_large(edges)), "stars", rows=state[0])

@@ -36,6 +36,7 @@ RADIUS = 4
 FULL = 2048
 #: Seconds for a row that is dealt out, and for a pair that is verified: what the plan weighs.
 ROW_COST, PAIR_COST = 2e-6, 2e-8
+SALTS = 16
 #: Hot keys are broadcast up to so many.
 SMALL = 20_000
 _U = np.uint64
@@ -274,12 +275,16 @@ def links(fps: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame:
 def near_duplicates(found: DataFrame, radius: int = RADIUS) -> DataFrame:
     """row, doc_id, fp, root, component_id of every row of ``fingerprinted``."""
     rows = found.select("row", "doc_id", "fp")
-    fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", rows=rows.count())
-    roots = components(links(fps, radius))
+    n = rows.count()
+    fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", rows=n)
+    roots = components(links(fps, radius), n)
     linked = fps.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("of_class"))
-    classes = linked.join(least, "root").select("fp", "root", "of_class")
+    # one class may hold most fingerprints: its rows are dealt out by salt, the classes' least ids to every salt
+    salts = F.explode(F.array(*(F.lit(k) for k in range(SALTS))))
+    classes = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(least.withColumn("salt", salts), ["root", "salt"]).select("fp", "root", "of_class")
     known = fps.join(classes, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("of_class", "least").alias("component_id"))
+    known = staged(known, "classes", rows=n)  # so that the last join stands alone and Spark can split a fingerprint that many rows share
     return rows.join(known, "fp").select("row", "doc_id", "fp", "root", "component_id")
 
 
