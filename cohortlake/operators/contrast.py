@@ -1,4 +1,4 @@
-"""Differences of effects between two strata, two samples, or two pairs of both."""
+"""Contrasts of effects between two strata, two samples, or two pairs of both."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ class Side:
 
 
 @dataclass
-class Difference:
+class Contrast:
     label: str
     sample: str | None
     stratum: object
@@ -69,7 +69,7 @@ def sides(samples: list[str], strata: list, difference: object) -> list[tuple[Si
     return [(Side(a, s), Side(a, t), False, True) for a in samples]
 
 
-def differences(found: list[Aggregate], pairs: list[tuple[Side, Side, bool, bool]], n_total: dict[str, int]) -> list[Difference]:
+def contrasts(found: list[Aggregate], pairs: list[tuple[Side, Side, bool, bool]], n_total: dict[str, int]) -> list[Contrast]:
     """For each pair, the rows that both sides have."""
     out = []
     for a, b, by_sample, by_stratum in pairs:
@@ -79,11 +79,11 @@ def differences(found: list[Aggregate], pairs: list[tuple[Side, Side, bool, bool
                 j = second[x.value]
                 n = n_total[a.sample] + n_total[b.sample] if by_sample else n_total[a.sample]
                 label = f"{a.label(by_sample, by_stratum)} - {b.label(by_sample, by_stratum)}"
-                out.append(Difference(label, None if by_sample else a.sample, None if by_stratum else a.stratum, x.value, x.att - found[j].att, k, j, n))
+                out.append(Contrast(label, None if by_sample else a.sample, None if by_stratum else a.stratum, x.value, x.att - found[j].att, k, j, n))
     return out
 
 
-def difference_influence(diffs: list[Difference], found: list[Aggregate], psi: DataFrame, n_total: dict[str, int], rescale: bool = False) -> DataFrame:
+def contrast_influence(diffs: list[Contrast], found: list[Aggregate], psi: DataFrame, n_total: dict[str, int], rescale: bool = False) -> DataFrame:
     """diff_id, unit, psi: the first side's less the second's. psi: agg_id, unit, psi.
 
     Units of one sample subtract; units of two samples are different units. rescale: multiply each sample's part by n / its own

@@ -5,7 +5,7 @@ aggregate over all cells yields what a few small solves on the driver turn into
 are then one expression over the rows, with those parameters broadcast (a row for each cell).
 
 The propensity score is fitted for all cells together: one aggregate for each Newton step. Methods: reg, dr, dr-ipt,
-std_ipw, ipw; see Sant'Anna and Zhao (2020) for the moments and their linear representations.
+std_ipw, ipw, with the usual linear representations of what they estimate first.
 """
 
 from __future__ import annotations

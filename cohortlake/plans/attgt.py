@@ -12,7 +12,7 @@ from cohortlake.functions.formula import INTERCEPT, design, split_formula
 from cohortlake.functions.stats import z_quantile
 from cohortlake.operators import aggregate as agg
 from cohortlake.operators import cells as planning
-from cohortlake.operators import difference as diff
+from cohortlake.operators import contrast
 from cohortlake.operators import estimators, inference, xsection
 from cohortlake.operators.local import small_table
 from cohortlake.operators.panel import no_nan, prepare, time_varying
@@ -323,7 +323,7 @@ class ATTgt:
     ) -> DataFrame:
         """Aggregated effects, or with difference those of one side less the other's.
 
-        With difference, type_of_aggregation None compares the cells themselves. rescale: see difference_influence.
+        With difference, type_of_aggregation None compares the cells themselves. rescale: see contrast_influence.
         """
         self._need_fit()
         if type_of_aggregation is None and not difference:
@@ -349,8 +349,8 @@ class ATTgt:
             n = {k: self._totals[a.sample] for k, a in enumerate(found)}
             out = self._inferred(table, psi, "agg_id", n, alpha, boot_iterations, random_state, clusters).drop("agg_id", "n_total")
         else:
-            diffs = diff.differences(found, diff.sides(self.sample_names, self._strata(), difference), self._totals)
-            apart = diff.difference_influence(diffs, found, psi, self._totals, rescale)
+            diffs = contrast.contrasts(found, contrast.sides(self.sample_names, self._strata(), difference), self._totals)
+            apart = contrast.contrast_influence(diffs, found, psi, self._totals, rescale)
             cells = type_of_aggregation is None
             rows = [(k, d.label, d.sample, d.stratum, *(d.value if cells else (d.value,)), d.att, d.n) for k, d in enumerate(diffs)]
             values = "cohort int, base_period int, time int" if cells else "value int"
