@@ -4,7 +4,7 @@ A source's documents, shuffled by the MD5 of their ids and laid end to end, are
 most and cut into blocks of equal size. Slot k of the schedule takes the point frac(k * golden ratio) through the
 cumulative block counts of the sources; a slot's rank among its source's slots names the block it takes. Slots beyond a
 source's need fall out, and the few blocks that the points miss follow at the end, so every source gives its target to
-the word. Ranks and word positions are prefix sums in two levels (chunks of slots, buckets of ids), so no source, however
+the word. Ranks and word positions are prefix sums in levels (groups of chunks of slots, groups of buckets of ids), so no source, however
 large, is sorted or counted in one task.
 
 Sizes are words; null text has none. Sources come by code point, null last, and an empty source name is a source. Rows
@@ -27,8 +27,10 @@ MOST = 2
 BLOCK = 1024
 GOLDEN = (math.sqrt(5) - 1) / 2
 #: Slots are ranked in chunks of so many; a source's documents are placed in so many buckets by three hex digits.
-CHUNK = 4096
+CHUNK = 512
 BUCKET_DIGITS = 3
+#: Prefix sums over chunks and buckets go by groups of so many.
+GROUP = 64
 #: Points find their source through so many cells.
 CELLS = 4096
 #: The table of sources is broadcast up to so many rows.
@@ -72,6 +74,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return level.withColumn("top", top).select("key", "source", "source_size", F.least("cap", F.coalesce(F.col("top") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def running(df: DataFrame, index: str, value: str) -> DataFrame:
+    """df (key, index, value) with before: the values of the key's smaller indices. Indices are summed in groups of GROUP, so
+    no window holds more than a key's groups or a group's indices."""
+    grouped = df.withColumn("group", F.floor(F.col(index) / GROUP).cast("long"))
+    sums = grouped.groupBy("key", "group").agg(F.sum(value).alias("total"))
+    sums = sums.select("key", "group", (F.sum("total").over(Window.partitionBy("key").orderBy("group")) - F.col("total")).alias("lower"))
+    within = F.sum(value).over(Window.partitionBy("key", "group").orderBy(index)) - F.col(value)
+    out = grouped.withColumn("within", within).join(sums, ["key", "group"])
+    return out.withColumn("before", F.col("lower") + F.col("within")).drop("group", "within", "lower")
+
+
 def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     """key, rank, slot: which block of which source fills each slot. sources: key, target."""
     need = sources.select("key", F.ceil(F.floor(F.col("target") + 0.5) / block).cast("long").alias("need"))
@@ -85,8 +98,7 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     slots = slots.withColumn("at", F.least(F.floor((point - F.floor(point)) * n).cast("long"), F.lit(n - 1)))
     slots = slots.withColumn("cell", cell(F.col("at")))
     dealt = slots.join(cells, "cell").filter("at >= lo and at < hi").select("key", "need", "slot", F.floor(F.col("slot") / CHUNK).alias("chunk"))
-    chunks = dealt.groupBy("key", "chunk").agg(F.count("*").alias("n"))
-    chunks = chunks.select("key", "chunk", (F.sum("n").over(Window.partitionBy("key").orderBy("chunk")) - F.col("n")).alias("before"))
+    chunks = running(dealt.groupBy("key", "chunk").agg(F.count("*").alias("n")), "chunk", "n").drop("n")
     within = F.row_number().over(Window.partitionBy("key", "chunk").orderBy("slot"))
     ranked = dealt.withColumn("within", within).join(chunks, ["key", "chunk"]).withColumn("rank", F.col("before") + F.col("within") - 1)
     filled = ranked.filter("rank < need").select("key", "rank", "slot")
@@ -97,9 +109,8 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """sizes with source_size, target and the place of each row's first word in its source's stream."""
-    cut = sizes.drop("source").withColumn("bucket", F.substring("shuffle", 1, BUCKET_DIGITS))
-    sums = cut.groupBy("key", "bucket").agg(F.sum("size").alias("n"))
-    sums = sums.select("key", "bucket", (F.sum("n").over(Window.partitionBy("key").orderBy("bucket")) - F.col("n")).alias("before"))
+    cut = sizes.drop("source").withColumn("bucket", F.conv(F.substring("shuffle", 1, BUCKET_DIGITS), 16, 10).cast("int"))
+    sums = running(cut.groupBy("key", "bucket").agg(F.sum("size").alias("n")), "bucket", "n").drop("n")
     within = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("shuffle", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0))
     out = cut.withColumn("within", within - F.col("size")).join(sums, ["key", "bucket"]).withColumn("first", F.col("before") + F.col("within"))
     few = len(sources.limit(SMALL + 1).select("key").collect()) <= SMALL
@@ -124,7 +135,7 @@ def taken(docs: DataFrame, *keep: str) -> DataFrame:
     sizes = sized(docs, *keep)
     slim = sizes.drop(*(f"kept_{c}" for c in keep))
     sources = staged(targets(slim), "sources")
-    rows = staged(placed(slim, sources), "places")
+    rows = staged(placed(slim, sources), "places", rows=slim.count())
     words = mix(rows, sources).groupBy("row").agg(F.sum("words").alias("taken"))
     out = rows.join(words, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return out.join(sizes.select("row", *(f"kept_{c}" for c in keep)), "row") if keep else out

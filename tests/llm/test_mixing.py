@@ -82,7 +82,7 @@ def test_schedule_is_even(docs, spark):
     for k in "abc":
         slots = [s for _, s in sorted(by[k])]
         assert slots == sorted(slots)
-        for start in range(0, 900, 100):
+        for start in range(0, 900, 100):  # chunks of slots do not show
             n = sum(start <= s < start + 100 for s in slots)
             assert abs(n - need[k] / 10) <= 4
 
