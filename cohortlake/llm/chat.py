@@ -31,6 +31,8 @@ from .tokens import encoder
 
 BUDGET, HISTORY = 1024, 256
 VOCABULARY = "byte_bpe_50k.json"
+#: Staged windows are large: a turn counts as so many short rows.
+WINDOW_ROWS = 10
 #: Tokens of a turn's marks, about.
 MARKS = 8
 START, END = "<|im_start|>", "<|im_end|>"
@@ -194,4 +196,4 @@ def formatted(conversations: DataFrame) -> DataFrame:
     odd = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(more)
-    return digests(staged(windows(rows), "windows"))
+    return digests(staged(windows(rows), "windows", rows=WINDOW_ROWS * rows.count()))
