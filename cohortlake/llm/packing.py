@@ -2,9 +2,8 @@
 
 A configuration is a multiset of piece lengths that fits one sequence. Its program, as few configurations as cover
 every length's count, depends on the histogram alone, which has at most ``capacity`` entries however large the corpus.
-Multiplicative weights give each length a price, a knapsack dynamic program prices the best configuration, and the
-configuration is used in whole steps (so the solution is integral as far as it goes); what is left is placed by
-best-fit decreasing over groups of equal sequences. Pieces find their place from their rank among pieces of equal
+Multiplicative weights give each length a price, a knapsack dynamic program finds the configuration of the highest price,
+and the fractional solution is rounded as the counts allow; what is left is placed by best-fit decreasing over groups of equal sequences. Pieces find their place from their rank among pieces of equal
 length: counts for each task and length, added up, stand for any global sort.
 
 Null text reads as empty (the end token alone). Equal rows are packed once each. An empty table gives no rows.
@@ -27,10 +26,14 @@ from .tokens import encoder
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
-#: Rounds of pricing; more rounds leave less to best fit.
-ROUNDS = 250
+#: Rounds of pricing, and columns of a round; more leave less to best fit.
+ROUNDS, COLUMNS = 250, 32
 #: How strongly the price of a length rises with the share of it that is still to be placed.
 RATE = 0.02
+#: Prices grow a little faster than lengths: of fillings without loss, those of long pieces come first.
+BENT = 1.01
+#: Configurations that fill less of a sequence are no columns: what they hold, best fit places with the rest.
+FULL = 1.0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
@@ -59,26 +62,32 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     return as_text(docs).mapInArrow(run, PIECES + ", ids binary" * ids)
 
 
-def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of the highest total value, by unbounded knapsack over the capacity. lengths ascend."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(int(lengths[0]), capacity + 1):
-        n = upto[c]
-        total = best[c - lengths[:n]] + values[:n]
-        k = int(np.argmax(total))
-        if total[k] > best[c - 1]:
-            best[c], last[c] = total[k], k
-        else:
-            best[c] = best[c - 1]
-    found, c = Counter(), capacity
-    while c > 0:
-        if last[c] < 0 or best[c] == best[c - 1]:
-            c -= 1
-        else:
-            found[int(lengths[last[c]])] += 1
-            c -= int(lengths[last[c]])
-    return dict(found)
+class Prices:
+    """The best value that each capacity can hold, by unbounded knapsack. lengths ascend."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray, capacity: int):
+        self.lengths, self.capacity = lengths, capacity
+        self.best, self.last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+        for c in range(int(lengths[0]), capacity + 1):
+            n = upto[c]
+            total = self.best[c - lengths[:n]] + values[:n]
+            k = int(n - 1 - np.argmax(total[::-1]))  # ties go to the longest, which leaves short pieces to fill the rest
+            if total[k] > self.best[c - 1]:
+                self.best[c], self.last[c] = total[k], k
+            else:
+                self.best[c] = self.best[c - 1]
+
+    def config(self, first: int = 0) -> dict[int, int]:
+        """The configuration of the highest value (that holds the length first)."""
+        found, c = Counter([first] * (first > 0)), self.capacity - first
+        while c > 0:
+            if self.last[c] < 0 or self.best[c] == self.best[c - 1]:
+                c -= 1
+            else:
+                found[int(self.lengths[self.last[c]])] += 1
+                c -= int(self.lengths[self.last[c]])
+        return dict(found)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -110,30 +119,49 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     return [x for group in open_.values() for x in group]
 
 
-def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Covers the counts exactly: (lengths, how many sequences). The better of the program and best fit alone."""
-    counts = {k: v for k, v in counts.items() if v}
-    plain, done, left = best_fit(counts, capacity), [], dict(counts)
-    for length in [k for k in left if 2 * k > capacity and capacity - k < min(counts)]:  # nothing goes beside these
-        done.append(({length: 1}, left.pop(length)))
+def program(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> dict[tuple[tuple[int, int], ...], float]:
+    """Configurations (lengths with how many of each) and how often to use them, in fractions, never above the counts.
+
+    Prices start at each length's share of the capacity, the dual of filling sequences without loss, and rise by
+    multiplicative weights with the share of a length that is not yet covered. A round prices once and takes several
+    columns: for each of the least covered lengths the best configuration that holds it, by half of what its scarcest
+    length still asks for (all of it, where that is less than one).
+    """
+    left, used = {k: float(v) for k, v in counts.items()}, {}
     for _ in range(rounds):
-        if not left:
+        lengths = np.array(sorted(k for k, v in left.items() if v > 0.5))
+        if not len(lengths):
             break
-        lengths = np.array(sorted(left))
         share = np.array([left[k] / counts[k] for k in lengths.tolist()])
-        values = lengths / capacity * np.exp(RATE * (share - share.max()))
-        config = {k: min(a, left[k]) for k, a in price(values, lengths, capacity).items()}
-        if sum(k * a for k, a in config.items()) < 0.999 * capacity:
-            break
-        # half of what the scarcest length allows, so that the next prices can answer
-        n = max(1, min(left[k] // a for k, a in config.items()) // 2)
-        done.append((config, n))
-        for k, a in config.items():
-            left[k] -= n * a
-            if not left[k]:
-                del left[k]
-    done += best_fit(left, capacity)
-    return min(plain, done, key=lambda x: sum(n for _, n in x))
+        prices = Prices((lengths / capacity) ** BENT * np.exp(RATE * (share - share.max())), lengths, capacity)
+        for first in lengths[np.lexsort((-lengths, -share))][:COLUMNS].tolist():
+            config = {k: min(a, counts[k]) for k, a in prices.config(first).items()}
+            step = min(left[k] / a for k, a in config.items())
+            step = step / 2 if step >= 2 else step
+            if step <= 0 or sum(k * a for k, a in config.items()) < FULL * capacity:
+                continue
+            key = tuple(sorted(config.items(), reverse=True))
+            used[key] = used.get(key, 0.0) + step
+            for k, a in config.items():
+                left[k] = max(0.0, left[k] - step * a)
+    return used
+
+
+def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+    """Covers the counts exactly: (lengths, how many sequences). The program's solution, rounded as the counts allow, and the rest by best fit."""
+    left = {k: v for k, v in counts.items() if v}
+    done = []
+    for length in [k for k in left if capacity - k < min(left)]:  # nothing goes beside these
+        done.append(({length: 1}, left[length]))
+    for (config, _) in done:
+        left.pop(next(iter(config)))
+    for config, often in sorted(program(left, capacity, rounds).items(), key=lambda x: -x[1]):
+        n = min(round(often), *(left[k] // a for k, a in config))
+        if n:
+            done.append((dict(config), n))
+            for k, a in config:
+                left[k] -= n * a
+    return done + best_fit({k: v for k, v in left.items() if v}, capacity)
 
 
 def places(configs: list[tuple[dict[int, int], int]]) -> np.ndarray:
