@@ -50,7 +50,15 @@ def staged(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = Non
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Texts are long: Spark's defaults of 4,096 rows to a reader's batch and 10,000 to a worker's hold tens of MB at once.
+BATCH_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000")}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts; batch sizes that the session leaves at their defaults become smaller."""
+    for key, (default, rows) in BATCH_ROWS.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, rows)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

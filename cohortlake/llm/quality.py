@@ -28,6 +28,8 @@ SAMPLE, SAMPLE_LINES = 4000, 60
 THRESHOLD = 0.3
 ROUNDS, STEPS, RATE = 1, 100, 0.08
 DECAY = 1e-4
+#: Running sums take some 50 bytes for each byte of text: so much text at a time.
+SLICE = 2 << 20
 _BYTES = np.arange(256)
 _SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
 _UPPER = (_BYTES >= 65) & (_BYTES <= 90)
@@ -250,10 +252,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter("quality = most")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "quality")
     rows = as_text(docs).join(F.broadcast(chosen), "doc_id")  # sample rows at most
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))  # repeated ones once
 
     def features(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 found = lines_of(part.column(1))
                 ends = np.searchsorted(found.doc, np.arange(part.num_rows + 1))
                 cut = [(a, min(b, a + SAMPLE_LINES)) for a, b in zip(ends, ends[1:])]
@@ -262,9 +265,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                     names=["doc_id", "quality", "lengths", "features"],
                 )
 
-    # repeated rows could exceed the sample: so many rows at most
-    got = rows.select("doc_id", "text", "quality").mapInArrow(features, "doc_id long, quality int, lengths binary, features binary").limit(2 * sample).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["lengths"], r["features"]))
+    got = rows.select("doc_id", "text", "quality").mapInArrow(features, "doc_id long, quality int, lengths binary, features binary").collect()
+    got.sort(key=lambda r: r["doc_id"])
     sizes = [len(r["lengths"]) // 8 for r in got]
     length = np.frombuffer(b"".join(r["lengths"] for r in got), dtype="<i8")
     matrix = np.frombuffer(b"".join(r["features"] for r in got), dtype=np.float32).reshape(-1, WIDTH)
@@ -277,7 +279,7 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 score = model.scores(lines_of(part.column(at)), part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*part.schema.names, column])
 
