@@ -55,6 +55,6 @@ def panel_rows(units: DataFrame, cells: DataFrame, control_group: str, strata: b
 def cross_section_rows(df: DataFrame, cells: DataFrame, control_group: str, strata: bool, anticipation: int) -> DataFrame:
     """Every row at one of a cell's two times, if treated or control there. df: sample, unit, t, g, s, y, x, w."""
     d, c = treated(strata), control(control_group, strata, anticipation)
-    here = (F.col("t") == F.col("time")) | (F.col("t") == F.col("base_period"))
-    met = df.join(F.broadcast(cells), here & (d | c))
+    at = cells.withColumn("at", F.explode(F.array("time", "base_period")))  # an equality, so rows meet only their time's cells
+    met = df.join(F.broadcast(at), (F.col("t") == F.col("at")) & (d | c))
     return met.select("sample", "cell_id", "unit", d.cast("double").alias("d"), (F.col("t") == F.col("time")).cast("double").alias("post"), "y", "x", "w")

@@ -144,7 +144,7 @@ class ATTgt:
         column = dict(zip(plan.names, plan.columns))
         sample = F.lit(FULL)
         if isinstance(split_sample_by, str):
-            sample = F.concat(F.lit(f"{split_sample_by} = "), F.col(split_sample_by).cast("string"))
+            sample = F.concat(F.lit(f"{split_sample_by} = "), no_nan(df, split_sample_by).cast("string"))
         elif split_sample_by is not None:
             sample = F.when(split_sample_by(df), "split = True").otherwise("split = False")
         weight = F.col(weights_name).cast("double") if weights_name else F.lit(1.0)
