@@ -20,16 +20,20 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SLICE_BYTES = 4 << 20
 #: Short rows that one staged file holds, about.
 FILE_ROWS = 50_000
+#: Rows of two or three numbers (some 10 MB) up to which a table is sent to every executor, so that texts stay in place.
+BROADCAST_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, local mode) a temporary folder is made, set and removed at exit.
+    Only where it is unset, in local mode, a temporary folder is made, set and removed at exit.
     """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="shared-")
     atexit.register(shutil.rmtree, path, True)
     spark.conf.set("spark.checkpoint.dir", f"file://{path}")
@@ -62,6 +66,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A staged table of a few numbers a row, to be broadcast if it has at most BROADCAST_ROWS rows; else it is shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the column holds about limit bytes; one longer text makes a slice of its own."""
     array = batch.column(batch.schema.get_field_index(column))

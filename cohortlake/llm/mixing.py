@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, broadcast_if_small, staged
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -130,22 +130,27 @@ def mix(rows: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
     return parts.join(schedule(sources, block), ["key", "rank"])
 
 
-def taken(docs: DataFrame, *keep: str) -> DataFrame:
-    """row, doc_id, size, source_size, target, taken [, kept_...] of every row."""
-    sizes = sized(docs, *keep)
-    slim = sizes.drop(*(f"kept_{c}" for c in keep))
+def taken_of(sizes: DataFrame) -> DataFrame:
+    """row, doc_id, size, source_size, target, taken of every row of ``sized``."""
+    slim = sizes.select("row", "doc_id", "source", "key", "size", "shuffle")
     sources = staged(targets(slim), "sources")
     rows = staged(placed(slim, sources), "places", rows=slim.count())
     words = mix(rows, sources).groupBy("row").agg(F.sum("words").alias("taken"))
-    out = rows.join(words, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return out.join(sizes.select("row", *(f"kept_{c}" for c in keep)), "row") if keep else out
+    return rows.join(words, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def taken(docs: DataFrame) -> DataFrame:
+    """row, doc_id, size, source_size, target, taken of every row."""
+    return taken_of(sized(docs))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as whole rows of docs: each as often as its taken words make up its size, rounded."""
-    found = taken(docs, *docs.columns)
+    sizes = sized(docs, *docs.columns)
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    rows = found.filter("size > 0").withColumn("copies", copies).filter("copies > 0")
+    chosen = taken_of(sizes).filter("size > 0").select("row", copies.alias("copies")).filter("copies > 0")
+    chosen = staged(chosen, "copies", rows=sizes.select("row").count())
+    rows = sizes.join(broadcast_if_small(chosen), "row")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return rows.select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
 

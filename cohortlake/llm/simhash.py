@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import broadcast_if_small, slices, staged
 from .components import components
 
 WORDS = 4
@@ -298,4 +298,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     found = fingerprinted(docs, *docs.columns)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     kept = near_duplicates(found).groupBy("root").agg(F.min(order).alias("first")).select("first.row")
-    return found.join(kept, "row", "left_semi").select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
+    rows = found.select("row")
+    dropped = staged(rows.join(kept, "row", "left_anti"), "dropped", rows=rows.count())
+    return found.join(broadcast_if_small(dropped), "row", "left_anti").select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
