@@ -28,7 +28,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 MAGIC = b"RANSIDS1"
 #: Frequencies add up to 2**SCALE; states stay in [LOW, LOW << 32).
-SCALE = 20
+SCALE = 19
 LOW = np.uint64(1 << 31)
 LANES, STEPS = 512, 512
 #: A file is closed at the first document that brings it to so many ids.
@@ -105,11 +105,12 @@ def encode(ids: np.ndarray, docs: list[int | None], lengths: list[int], lanes: i
 def _symbols(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct ids in order, each id's place among them, and their counts."""
     if int(ids.max()) < 1 << 20:
+        ids = ids.astype(np.int64)
         counts = np.bincount(ids)
         symbols = np.flatnonzero(counts)
         place = np.zeros(len(counts), dtype=np.int64)
         place[symbols] = np.arange(len(symbols))
-        return symbols, place[ids], counts[symbols]
+        return symbols, place.take(ids), counts[symbols]
     return np.unique(ids, return_inverse=True, return_counts=True)
 
 
@@ -144,9 +145,9 @@ def _unwind(data: bytes, body: int, places: np.ndarray, symbols: np.ndarray, fre
     streams = [np.frombuffer(data, "<u4", int(p[2]), body + int(p[0]) + 8 * lanes) for p in places]
     words = np.concatenate([*streams, np.zeros(1, "<u4")]).astype(np.uint64)
     next_ = np.cumsum([0, *(len(s) for s in streams)])[:-1]
-    symbol_at = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
+    symbol_at = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 1 << 16 else np.int32), freq)
     f64, c64 = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
-    out = np.empty((steps, blocks * lanes), dtype=np.int32)
+    out = np.empty((steps, blocks * lanes), dtype=symbol_at.dtype)
     mask, scale, half = np.uint64((1 << SCALE) - 1), np.uint64(SCALE), np.uint64(32)
     for s in range(steps):
         slot = x & mask
@@ -165,7 +166,7 @@ def _unwind(data: bytes, body: int, places: np.ndarray, symbols: np.ndarray, fre
         next_ = next_ + count
     if (x != LOW).any():
         raise ValueError("a lane does not end where it began")
-    return symbols[out.reshape(steps, blocks, lanes).transpose(1, 0, 2).reshape(blocks, steps * lanes)]
+    return symbols.astype(np.uint32)[out.reshape(steps, blocks, lanes).transpose(1, 0, 2).reshape(blocks, steps * lanes)]
 
 
 def write(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, file_ids: int = FILE_IDS) -> DataFrame:
