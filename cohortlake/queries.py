@@ -79,6 +79,8 @@ def _effects(df: DataFrame, *keys: str) -> DataFrame:
 
 
 CELL = ("cohort", "base_period", "time")
+#: In results that are compared across engines, never treated reads 0: drivers disagree on the type of integers with nulls.
+NEVER = "coalesce(g, 0) AS g"
 
 # -- planning
 
@@ -119,20 +121,20 @@ def cells_filtered(spark: SparkSession, d: str) -> DataFrame:
 _SPANS = "spans AS (SELECT *, max(g) OVER (PARTITION BY e) AS gg, min(t) OVER (PARTITION BY e) AS a, max(t) OVER (PARTITION BY e) AS b FROM p0)"
 
 
-@query("drop_always_treated", sql.build(sql.F2, _SPANS, out="SELECT e, t, g, round(y, 4) AS y FROM spans WHERE gg IS NULL OR gg > a"))
+@query("drop_always_treated", sql.build(sql.F2, _SPANS, out="SELECT e, t, coalesce(g, 0)::INT AS g, round(y, 4) AS y FROM spans WHERE gg IS NULL OR gg > a"))
 def drop_always_treated(spark: SparkSession, d: str) -> DataFrame:
-    return rules.drop_always_treated(rules.with_spans(_canonical(customers(spark, d)))).select("e", "t", "g", F.round("y", 4).alias("y"))
+    return rules.drop_always_treated(rules.with_spans(_canonical(customers(spark, d)))).selectExpr("e", "t", NEVER, "round(y, 4) AS y")
 
 
-@query("treated_after_to_never", sql.build(sql.F2, _SPANS, out="SELECT e, t, CASE WHEN gg <= b THEN gg END AS g FROM spans"))
+@query("treated_after_to_never", sql.build(sql.F2, _SPANS, out="SELECT e, t, coalesce(CASE WHEN gg <= b THEN gg END, 0)::INT AS g FROM spans"))
 def treated_after(spark: SparkSession, d: str) -> DataFrame:
-    return rules.treated_after_to_never(rules.with_spans(_canonical(customers(spark, d)))).select("e", "t", "g")
+    return rules.treated_after_to_never(rules.with_spans(_canonical(customers(spark, d)))).selectExpr("e", "t", NEVER)
 
 
-@query("no_never_treated", sql.build(sql.F1, out="SELECT e, t, CASE WHEN g <> 1999 THEN g END AS g FROM p0 WHERE g IS NOT NULL AND t < 1999"))
+@query("no_never_treated", sql.build(sql.F1, out="SELECT e, t, coalesce(CASE WHEN g <> 1999 THEN g END, 0)::INT AS g FROM p0 WHERE g IS NOT NULL AND t < 1999"))
 def no_never_treated(spark: SparkSession, d: str) -> DataFrame:
     found = rules.prepare(suppliers(spark, d).filter("g is not null"), "e", "year", "g", warn=False)
-    return found.df.select("e", "t", "g")
+    return found.df.selectExpr("e", "t", NEVER)
 
 
 @query("balance_check", f"WITH {sql.F1}, {sql.F2.replace('p0 AS', 'p2 AS')} SELECT 'customers' AS panel, min(n) = max(n) AS balanced FROM (SELECT count(*) AS n FROM p2 GROUP BY t) UNION ALL SELECT 'suppliers', min(n) = max(n) FROM (SELECT count(*) AS n FROM p0 GROUP BY t)")
@@ -296,9 +298,9 @@ _EVENTS = f"WITH {sql.F1}, f AS (SELECT DISTINCT e, g AS cohort FROM p0 WHERE g
 _DUMMIES = ", ".join(f'sum((p0.t - cohort = {k})::INT)::BIGINT AS "p_{k}"' for k in range(-2, 3))
 
 
-@query("pivot_events", f"{_EVENTS} SELECT e, min(cohort)::INT AS \"1\", (CASE WHEN count(*) > 1 THEN max(cohort) END)::INT AS \"2\" FROM ev GROUP BY e")
+@query("pivot_events", f"{_EVENTS} SELECT e, min(cohort)::INT AS \"1\", (CASE WHEN count(*) > 1 THEN max(cohort) ELSE 0 END)::INT AS \"2\" FROM ev GROUP BY e")
 def pivot_events(spark: SparkSession, d: str) -> DataFrame:
-    return tools.cohort_table(_two_events(suppliers(spark, d)), "e", "cohort", 2)
+    return tools.cohort_table(_two_events(suppliers(spark, d)), "e", "cohort", 2).fillna(0)
 
 
 @query("relative_dummies", f"{_EVENTS} SELECT e, p0.t AS year, {_DUMMIES} FROM p0 JOIN ev USING (e) GROUP BY e, p0.t")
