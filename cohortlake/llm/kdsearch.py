@@ -92,10 +92,11 @@ class Tree:
                     continue
                 score = self.vectors[a:b] @ queries[q] if exact else whole[a:b] @ queries[q].astype(np.int64)
                 near = np.flatnonzero(score >= limit[0]) if limit[0] > -np.inf else np.arange(b - a)
+                near = near[self.ids[a:b][near] != me]  # before the cut: a query's id may have any number of rows
                 if len(near) > 4 * k:
-                    near = near[np.lexsort((self.ids[a:b][near], -score[near]))[: k + 1]]
+                    near = near[np.lexsort((self.ids[a:b][near], -score[near]))[:k]]
                 for x, i in zip(score[near].tolist(), self.ids[a:b][near].tolist()):
-                    if i != me and (x, -i) > limit:
+                    if (x, -i) > limit:
                         (heapq.heappush if len(top) < k else heapq.heappushpop)(top, (x, -i))
                         if len(top) == k:
                             limit = max(limit, top[0])

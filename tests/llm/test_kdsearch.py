@@ -40,6 +40,15 @@ def test_few_rows(spark):
     assert run(spark, [(0, [1.0]), (1, [2.0])]) == [(0, 1, 1, 256 * 512)]
 
 
+def test_repeated_query_ids(spark):
+    """Rows of a query's own id, which score highest, take no places of its neighbours."""
+    rng = np.random.default_rng(3)
+    others = [(k + 1, [float(x) for x in rng.uniform(0, 1, 4)]) for k in range(40)]
+    for own in (2, 6, 30, 300):
+        rows = others + [(50, [9.0] * 4)] * own
+        assert run(spark, rows) == brute(rows)
+
+
 def test_large_components(spark):
     rows = [(k, [float(4 * 10**6 + k * 16384), float(k % 3)]) for k in range(60)]
     assert run(spark, rows) == brute(rows)
