@@ -85,6 +85,8 @@ _V6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}|:)(?::[0-9A-Fa-f]{0,4})
 _AT = r"(?:\x20?[\[({]\x20?(?:at|@)\x20?[\])}]\x20?|\x20at\x20|\x20@\x20)"
 _DOT = r"(?:\x20?[\[({]\x20?(?:dot|\.)\x20?[\])}]\x20?|\x20dot\x20|\x20\.\x20|\.)"
 _MASKED = re.compile(rf"[A-Za-z0-9_%+-]{{1,32}}(?:\.[A-Za-z0-9_%+-]{{1,32}}){{0,3}}{_AT}[A-Za-z0-9-]{{1,32}}(?:{_DOT}[A-Za-z0-9-]{{1,32}}){{1,3}}", re.I)
+#: Part of every match of _MASKED, quick to look for.
+_MASK = re.compile(rf"{_AT}[A-Za-z0-9-]{{1,32}}{_DOT}[A-Za-z0-9-]", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
 _RUN = re.compile("[0-9]+")
 
@@ -110,7 +112,7 @@ def candidates(text: str) -> Iterator[Span]:
         for m in _V6.finditer(text):
             if m.end() - m.start() <= LONGEST:
                 yield *m.span(), "ip"
-    if "@" in text or "dot" in text or "DOT" in text or "[at" in text or "(at" in text:
+    if _MASK.search(text):
         for m in _MASKED.finditer(text):
             if m.end() - m.start() <= LONGEST:
                 yield *m.span(), "email"
@@ -286,14 +288,12 @@ def field() -> Field:
 def spans_of(text: str, model: Field) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by start and then kind."""
     found = base(text)
-    more = []
-    if _DIGIT.search(text) or "@" in text or "dot" in text or "::" in text:
-        starts, reach = [], []
-        for a, b, _ in found:  # base spans may overlap: how far those so far reach
-            starts.append(a)
-            reach.append(max(b, reach[-1] if reach else 0))
-        free = [s for s in candidates(text) if not ((k := bisect_right(starts, s[1] - 1)) and reach[k - 1] > s[0])]
-        more = model.best(text, free) if free else []
+    starts, reach = [], []
+    for a, b, _ in found:  # base spans may overlap: how far those so far reach
+        starts.append(a)
+        reach.append(max(b, reach[-1] if reach else 0))
+    free = [s for s in candidates(text) if not ((k := bisect_right(starts, s[1] - 1)) and reach[k - 1] > s[0])]
+    more = model.best(text, free) if free else []
     return found, sorted(found + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

@@ -89,6 +89,33 @@ def test_added_spans_keep_clear_of_the_base():
     assert all(a[1] <= b[0] for a, b in zip(every, every[1:]))
 
 
+FORMS = ["jane.doe [at] example.org", "jane(at)example.com", "jane [ at ] example.com", "jane{at}example.com", "jane { AT } example.com", "jane[AT]example.com", "jane (At) example.com", "jane at example.com", "jane AT example DOT com", "jane at example Dot com", "jane [at] example [dot] org", "jane[@]example.com", "jane @ example . com", "jane {@} example.org"]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_masked_addresses_need_no_other_marks(form):
+    text = f"write to {form}"
+    assert (9, len(text), "email") in list(pii.candidates(text))
+
+
+@pytest.mark.parametrize("body,kind", [("jane.doe [at] example.org", "email"), ("jane(at)example.com", "email"), ("jane[AT]example.com", "email"), ("feed:beef:cafe:dead:face:fade:abba:babe", "ip")])
+def test_spans_in_texts_without_digits(body, kind):
+    text = f"write to {body}"
+    assert pii.spans_of(text, pii.field())[1] == [(9, len(text), kind)]
+
+
+def test_the_quick_mark_is_in_every_masked_address():
+    r = random.Random(4)
+    noise, at, dot = ["", "", " ", ".", "-", "[", "a "], [" at ", "[at]", " { At } ", "(@", " @ ", "AT", "( AT) "], [".", " dot ", "[Dot]", " (.) ", "dot", " . ", "{DOT }"]
+    hit = 0
+    for _ in range(5000):
+        text = "".join(r.choice(x) for x in (noise, ["a", "Z9", "b_", ""], noise, at, ["a-b", "C", "9"], noise, dot, ["d", "E9", ""], noise))
+        found = pii._MASKED.search(text) is not None
+        hit += found
+        assert not found or pii._MASK.search(text), text
+    assert hit > 500
+
+
 def test_plain_prose_has_none():
     assert pii.spans_of("We met at noon, at the old mill. It was 12 miles, in 1999; version 1.2.3, page 45-48.", pii.field()) == ([], [])
 
