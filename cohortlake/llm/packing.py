@@ -3,7 +3,11 @@
 A configuration is a multiset of piece lengths that fits one sequence. Its program, as few configurations as cover
 every length's count, depends on the histogram alone, which has at most ``capacity`` entries however large the corpus.
 Multiplicative weights give each length a price, a knapsack dynamic program finds the configuration of the highest price,
-and the fractional solution is rounded as the counts allow; what is left is placed by best-fit decreasing over groups of equal sequences. Pieces find their place from their rank among pieces of equal
+and the fractional solution over fillings without loss is rounded as the counts allow; what is left is placed by best-fit
+decreasing over groups of equal sequences. Where that needs more sequences than the tokens fill, the program over all
+configurations, full or not, is solved by simplex steps with the same pricing, for all lengths and for what the fillings
+left, until its dual bound shows that nothing is to be gained (or after ``PIVOTS`` steps); the solution of fewest sequences
+counts, plain best fit among them. Pieces find their place from their rank among pieces of equal
 length: counts for each task and length, added up, stand for any global sort.
 
 Null text reads as empty (the end token alone). Equal rows are packed once each. An empty table gives no rows.
@@ -12,6 +16,7 @@ Further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
@@ -32,8 +37,12 @@ ROUNDS, COLUMNS = 250, 32
 RATE = 0.02
 #: Prices grow a little faster than lengths: of fillings without loss, those of long pieces come first.
 BENT = 1.01
-#: Configurations that fill less of a sequence are no columns: what they hold, best fit places with the rest.
+#: Configurations that fill less of a sequence are no columns of the first program; the covering program takes all.
 FULL = 1.0
+#: Simplex steps of the covering program at most; it ends earlier where its bound is met.
+PIVOTS, NEAR = 3000, 1e-9
+#: How many lengths it starts with, and goes on with, before it takes all.
+STEPS = (64, 512)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
@@ -90,9 +99,11 @@ class Prices:
         return dict(found)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing, on groups of sequences that hold the same lengths: (lengths, how many sequences)."""
+def best_fit(counts: dict[int, int], capacity: int, begun: list[tuple[dict[int, int], int]] = []) -> list[tuple[dict[int, int], int]]:  # noqa: B006
+    """Best-fit decreasing, on groups of sequences that hold the same lengths: (lengths, how many sequences), those begun included."""
     open_: dict[int, list[tuple[dict[int, int], int]]] = {}
+    for held, n in begun:
+        open_.setdefault(capacity - sum(k * v for k, v in held.items()), []).append((held, n))
     for length in sorted(counts, reverse=True):
         left = counts[length]
         for room in sorted(r for r in open_ if r >= length):
@@ -147,21 +158,86 @@ def program(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
     return used
 
 
-def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Covers the counts exactly: (lengths, how many sequences). The program's solution, rounded as the counts allow, and the rest by best fit."""
-    left = {k: v for k, v in counts.items() if v}
-    done = []
-    for length in [k for k in left if capacity - k < min(left)]:  # nothing goes beside these
-        done.append(({length: 1}, left[length]))
-    for (config, _) in done:
-        left.pop(next(iter(config)))
-    for config, often in sorted(program(left, capacity, rounds).items(), key=lambda x: -x[1]):
-        n = min(round(often), *(left[k] // a for k, a in config))
+def covering(counts: dict[int, int], capacity: int = CAPACITY, enough: int = 0, pivots: int = PIVOTS) -> tuple[dict[tuple[tuple[int, int], ...], float], int]:
+    """The program over all configurations, by simplex steps on priced columns: (how often to use each, a number of
+    sequences that no packing goes below). It is solved for the lengths of most tokens first, then goes on from there
+    with more. Ends when the bound reaches enough, at the optimum, or after so many steps.
+    """
+    every = np.array(sorted(counts, key=lambda k: (-k * counts[k], k)))
+    asked, at = np.array([float(counts[k]) for k in every.tolist()]), {k: i for i, k in enumerate(every.tolist())}
+    fits = capacity // every
+    columns = [((k, n),) for k, n in zip(every.tolist(), fits.tolist())]
+    inverse, often, price, bound = np.diag(1 / fits), asked / fits, 1 / fits, 0
+    for m in sorted({min(m, len(every)) for m in (*STEPS, len(every))}):
+        rows = np.argsort(every[:m])
+        lengths = every[rows]
+        while pivots > 0 and bound < enough:
+            prices = Prices(price[rows], lengths, capacity)
+            most = prices.best[capacity]
+            bound = max(bound, math.ceil(np.maximum(price[:m], 0) @ asked[:m] / most - 1e-6))  # leaving lengths out raises no bound
+            value = price[rows] + prices.best[capacity - lengths]
+            order, before, seen = np.argsort(-value, kind="stable"), pivots, set()
+            for first in order[value[order] > 1 + NEAR].tolist():
+                config = prices.config(int(lengths[first]))
+                within = {k: min(a, counts[k]) for k, a in config.items()}  # no more than there are, if that is worth a step too
+                for key in (tuple(sorted(x.items(), reverse=True)) for x in (within, config)):
+                    column = np.zeros(m)
+                    for k, a in key:
+                        column[at[k]] = a
+                    gain = price[:m] @ column - 1
+                    if key in seen or gain <= NEAR:
+                        continue
+                    seen.add(key)
+                    step = inverse[:m, :m] @ column
+                    ratio = np.full(m, np.inf)
+                    np.divide(often[:m], step, out=ratio, where=step > NEAR)
+                    row = int(np.argmin(ratio))
+                    pivot = inverse[row, :m] / step[row]
+                    changed = np.flatnonzero(step)
+                    inverse[changed, :m] -= np.outer(step[changed], pivot)
+                    inverse[row, :m] = pivot
+                    often[:m] = np.maximum(often[:m] - ratio[row] * step, 0)
+                    often[row], columns[row] = ratio[row], key
+                    price[:m] -= gain * pivot
+                    pivots -= 1
+                    break
+                if len(seen) >= COLUMNS or pivots <= 0:
+                    break
+            if pivots == before:
+                break
+    return {key: n for key, n in zip(columns, often.tolist()) if n > NEAR}, bound
+
+
+def rounded(counts: dict[int, int], used: dict[tuple[tuple[int, int], ...], float], near: float = 0.5) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """A program's solution in whole sequences as the counts allow, and what it leaves; near 0 rounds down, 0.5 to the nearest."""
+    left, done = dict(counts), []
+    for config, often in sorted(used.items(), key=lambda x: -x[1]):
+        n = min(int(often + near + 1e-6), *(left[k] // a for k, a in config))
         if n:
             done.append((dict(config), n))
             for k, a in config:
                 left[k] -= n * a
-    return done + best_fit({k: v for k, v in left.items() if v}, capacity)
+    return done, {k: v for k, v in left.items() if v}
+
+
+def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+    """Covers the counts exactly: (lengths, how many sequences). The best of plain best fit and the programs' solutions, rounded as the counts allow, with the rest by best fit."""
+    left = {k: v for k, v in counts.items() if v}
+    alone = [({k: 1}, left.pop(k)) for k in [k for k in left if capacity - k < min(left)]]  # nothing goes beside these
+    if not left:
+        return alone
+    size = lambda configs: sum(n for _, n in configs)
+    full, rest = rounded(left, program(left, capacity, rounds))
+    best = min(full + best_fit(rest, capacity), best_fit(left, capacity), key=size)
+    if size(best) * capacity - sum(k * v for k, v in left.items()) < capacity:  # as few as the tokens fill
+        return alone + best
+    for held, some in ((full, rest), ([], left))[not full :]:
+        used, _ = covering(some, capacity, size(best) - size(held)) if some else ({}, 0)
+        mixed = {config: often for config, often in used.items() if len(config) > 1}
+        for columns, near in ((used, 0.0), (used, 0.5), (mixed, 0.0), (mixed, 0.5)):
+            begun, last = rounded(some, columns, near)
+            best = min(best, held + best_fit(last, capacity, begun), key=size)
+    return alone + best
 
 
 def places(configs: list[tuple[dict[int, int], int]]) -> np.ndarray:

@@ -48,6 +48,52 @@ def test_few_sequences():
     assert sum(n for _, n in packing.configurations(counts, 2048)) <= -(-sum(k * v for k, v in counts.items()) // 2048) + 1
 
 
+def size(configs):
+    return sum(n for _, n in configs)
+
+
+def test_lengths_without_exact_fillings():
+    """1043 + 532 + 472 = 2047 and 2 x 551 + 2 x 472 = 2046: 9 sequences where best fit takes 11."""
+    for n in (1, 7, 1000):
+        counts = {1043: 6 * n, 551: 6 * n, 532: 6 * n, 472: 12 * n}
+        configs = packing.configurations(counts, 2048)
+        check(counts, configs, 2048)
+        assert size(configs) == 9 * n and size(packing.best_fit(counts, 2048)) == 11 * n
+
+
+def test_hot_lengths_among_others():
+    r = random.Random(6)
+    counts = Counter({1043: 6000, 551: 6000, 532: 6000, 472: 12000})
+    counts.update({k: r.randint(1, 4) for k in r.sample(range(3, 1200), 150)})
+    configs = packing.configurations(counts, 2048)
+    check(counts, configs, 2048)
+    rest = sum(k * v for k, v in counts.items()) - 6000 * (1043 + 551 + 532) - 12000 * 472
+    assert size(configs) <= 9000 + -(-rest // 2048) + 2 < size(packing.best_fit(counts, 2048)) - 1000
+
+
+def test_covering_is_bound_and_solution():
+    r = random.Random(7)
+    for _ in range(20):
+        counts = {r.randint(200, 1024): r.randint(1, 10 ** r.randint(1, 5)) for _ in range(r.randint(2, 25))}
+        used, bound = packing.covering(counts, 2048, 10**9)
+        covered = Counter()
+        for config, often in used.items():
+            assert sum(k * a for k, a in config) <= 2048
+            for k, a in config:
+                covered[k] += often * a
+        assert all(abs(covered[k] - v) < 1e-3 for k, v in counts.items())
+        assert bound >= sum(used.values()) - 1e-3  # the optimum, as the dual has the same value
+        configs = packing.configurations(counts, 2048)
+        check(counts, configs, 2048)
+        assert bound <= size(configs) <= min(size(packing.best_fit(counts, 2048)), bound + len(counts))
+
+
+def test_best_fit_goes_on_from_begun_sequences():
+    configs = packing.best_fit({3: 3, 2: 1}, 10, [({6: 1}, 2)])
+    check({6: 2, 3: 3, 2: 1}, configs, 10)
+    assert size(configs) == 3
+
+
 def test_pricing_is_the_best_configuration():
     r = random.Random(2)
     for _ in range(20):
