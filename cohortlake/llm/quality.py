@@ -6,7 +6,7 @@ good share, which a logistic curve fitted on the training documents turns into a
 
 Labels are of documents, so training starts from lines that carry their document's label and then, ``ROUNDS`` times,
 frees lines of bad documents that the chain alone holds to be good. It sees at most ``SAMPLE`` labelled documents (those of
-the least hash of doc_id) and ``SAMPLE_LINES`` lines of each; crc32(doc_id) mod 5 = 0 is held out. Scores are of whole texts.
+the least hash of doc_id), whole; crc32(doc_id) mod 5 = 0 is held out. Scores are of whole texts, too.
 
 Lines end at line feeds; empty lines are none. Null and empty texts, and a model without labels of both kinds, score as
 the training documents do on average (0.5 without any). Repeated rows are scored each; labels that are null, not 0 or 1,
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import as_text, slices
 
-SAMPLE, SAMPLE_LINES = 4000, 60
+SAMPLE = 4000
 THRESHOLD = 0.3
 ROUNDS, STEPS, RATE = 1, 100, 0.08
 DECAY = 1e-4
@@ -259,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             for part in slices(batch, "text", SLICE):
                 found = lines_of(part.column(1))
                 ends = np.searchsorted(found.doc, np.arange(part.num_rows + 1))
-                cut = [(a, min(b, a + SAMPLE_LINES)) for a, b in zip(ends, ends[1:])]
+                cut = list(zip(ends, ends[1:]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array([found.length[a:b].astype("<i8").tobytes() for a, b in cut], pa.binary()), pa.array([found.features[a:b].tobytes() for a, b in cut], pa.binary())],
                     names=["doc_id", "quality", "lengths", "features"],

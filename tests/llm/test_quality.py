@@ -83,6 +83,15 @@ def test_classifier_on_held_out(spark, docs):
     assert len(held) > 60 and all(r["predicted"] == int(r["doc_id"] % 3 > 0) for r in held)
 
 
+def test_long_documents_are_fitted_whole(docs, spark, monkeypatch):
+    rows = [(k, "\n".join(["a plain line of words"] * 60 + ["BUY NOW !!! $$$"] * 40)) for k in range(30)]
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda lines, given: (seen.append((lines, len(given))), fit(lines, given))[1])
+    quality.train(docs(rows), labels(spark, rows))
+    ((lines, n),) = seen
+    assert np.bincount(lines.doc).tolist() == [100] * n and lines.length.sum() == n * (60 * 21 + 40 * 15)
+
+
 def test_held_out_labels_are_not_used(spark, docs):
     rows = corpus(200, 2)
     wrong = labels(spark, rows).selectExpr("doc_id", "CASE WHEN crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0 THEN 1 - quality ELSE quality END AS quality")
