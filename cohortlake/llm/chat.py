@@ -1,7 +1,7 @@
 """Chat formatting in budgeted windows.
 
 A conversation's turns, in order, are cut into windows of at most ``budget`` tokens at turn boundaries, by prefix
-sums of the turns' tokens. Every window starts with the system turn (a first turn with the role system), repeats at most
+sums of the turns' tokens, role and marks included. Every window starts with the system turn (a first turn with the role system), repeats at most
 ``history`` tokens of the turns before it, and holds at least one new turn; a turn above the budget has a window to itself
 (with the system turn). The loss mask covers the text of new assistant turns: a repeated target is masked.
 
@@ -33,8 +33,6 @@ BUDGET, HISTORY = 1024, 256
 VOCABULARY = "byte_bpe_50k.json"
 #: Staged windows are large: a turn counts as so many short rows.
 WINDOW_ROWS = 10
-#: Tokens of a turn's marks, about.
-MARKS = 8
 START, END = "<|im_start|>", "<|im_end|>"
 TARGET, SYSTEM = "assistant", "system"
 WINDOWS = "conv_id long, window int, repeated int, n_tokens long, text string, loss array<struct<start:int,end:int>>"
@@ -57,8 +55,12 @@ def unescape_role(role: str) -> str:
     return unescape(re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role))
 
 
+def head_of(role: str) -> str:
+    return f"{START}{escape_role(role)}\n"
+
+
 class Windows:
-    """Cuts one conversation. Turns are (role, escaped text, tokens)."""
+    """Cuts one conversation. Turns are (role, escaped text, tokens as formatted)."""
 
     def __init__(self, conv_id: int | None, budget: int = BUDGET, history: int = HISTORY):
         self.conv_id, self.budget, self.history = conv_id, budget, history
@@ -98,7 +100,7 @@ class Windows:
         repeated = self.new - start + (1 if self.system and self.count else 0)
         parts, loss, at, k0 = [], [], 0, self.new - start + (1 if self.system else 0)
         for k, (role, text, _) in enumerate(chosen):
-            head = f"{START}{escape_role(role)}\n"
+            head = head_of(role)
             if role == TARGET and k >= k0:
                 loss.append({"start": at + len(head), "end": at + len(head) + len(text)})
             parts += (head, text, END, "\n")
@@ -125,11 +127,12 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
                 conv, roles, texts = (part.column(k).to_pylist() for k in range(3))
                 texts = [escape(t) for t in texts]
                 out = []
-                for c, role, text, ids in zip(conv, roles, texts, encoder(vocabulary).ids(texts)):
+                whole = [f"{head_of(r)}{t}{END}\n" for r, t in zip(roles, texts)]
+                for c, role, text, ids in zip(conv, roles, texts, encoder(vocabulary).ids(whole)):
                     if now is None or c != now.conv_id:
                         out += now.finish() if now else []
                         now = Windows(c, budget, history)
-                    out += now.push((role, text, len(ids) // 4 + MARKS))
+                    out += now.push((role, text, len(ids) // 4))
                 yield pa.RecordBatch.from_pylist(out, _SCHEMA)
         if now:
             yield pa.RecordBatch.from_pylist(list(now.finish()), _SCHEMA)

@@ -3,6 +3,9 @@ from __future__ import annotations
 import hashlib
 import random
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 from cohortlake.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -79,6 +82,15 @@ def test_windows(spark):
     assert max(len(v) for v in by.values()) > 3
 
 
+def test_tokens_are_those_of_the_formatted_text(spark):
+    tk = Tokenizer.from_file(public_tokenizers.path(chat.VOCABULARY))
+    rows = [*conversations(4), *((200, k, "assistant" if k % 2 else "user", "ok") for k in range(100)), (201, 0, "a long role of many words " * 9, "x"), (202, 0, "user", "end!"), (202, 1, "user", " \n ")]
+    got = chat.windows(spark.createDataFrame(rows, SCHEMA), budget=200, history=40).collect()
+    for w in got:
+        assert w["n_tokens"] == len(tk.encode(w["text"], add_special_tokens=False).ids)
+    assert all(w["n_tokens"] <= 200 for w in got if w["conv_id"] == 200)
+
+
 def test_history_is_limited():
     w = chat.Windows(1, budget=100, history=30)
     out = [x for k in range(50) for x in w.push(("user", f"t{k}", 10))] + list(w.finish())
