@@ -5,8 +5,9 @@ vectors, the least id among them, and so a bound on any inner product with a que
 first and a search ends when no bound can beat the kth result. Queries search their own shard first; its kth result
 goes with them to all other shards, in blocks of queries by shards.
 
-Components become floor(scale * x). Vectors that are null, or hold a null or non-finite component, or one so large that
-products could leave 63 bits, take no part; vectors meet only those of equal length; an empty vector scores 0. A query's own row is that of its
+Components become floor(scale * x). Vectors that are null, or hold a null or non-finite component, or one that is no long
+after scaling, take no part. Scores are exact however wide; one among a query's k best that is no long (or the last one,
+2^63 - 1) fails the query, as it fails the SQL. Vectors meet only those of equal length; an empty vector scores 0. A query's own row is that of its
 vec_id: rows with one vec_id do not find each other, and each of them, repeated rows too, is searched for itself once.
 Ties go to the smaller id. Rows without vec_id are left out. An empty table gives no rows; further columns are ignored.
 """
@@ -30,6 +31,8 @@ EVERY = 50
 #: Vectors of a shard and queries of a block, about; vectors of a leaf at most.
 SHARD, BLOCK, LEAF = 4096, 512, 64
 FOUND = "query long, vec_id long, score long"
+#: Stands for this score and all beyond, its negative likewise.
+MOST = 2**63 - 1
 
 
 class Tree:
@@ -73,13 +76,13 @@ class Tree:
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, worst: np.ndarray, worst_id: np.ndarray) -> list[list[tuple[int, int]]]:
         """For each query at most k (score, id) that beat its (worst score, worst id), best first; its own id is left out."""
         bounds = np.maximum(queries, 0) @ self.hi.T + np.minimum(queries, 0) @ self.lo.T
-        exact = np.abs(queries).max(initial=0) * np.abs(self.vectors).max(initial=0) * max(1, queries.shape[1]) < 2**53
-        whole = None if exact else self.vectors.astype(np.int64)
+        reach = np.abs(queries) @ np.maximum(np.abs(self.hi), np.abs(self.lo)).T  # what sums of products stay below
+        bounds += np.where(reach < 2**52, 0, reach * queries.shape[1] * 1e-15 + 1)
         nodes, least = self.nodes.tolist(), self.least.tolist()
         out = []
         for q in range(len(queries)):
-            bound = bounds[q].tolist() if exact else (bounds[q] + np.abs(bounds[q]) * 1e-9 + 1).tolist()
-            limit, me = (float(worst[q]), -int(worst_id[q])), int(own[q])
+            bound = bounds[q].tolist()
+            limit, me = (worst[q].item(), -int(worst_id[q])), int(own[q])
             top: list[tuple[float, int]] = []  # the k best as (score, -id), the worst first
             heap = [(-bound[0], least[0], 0)]
             while heap and (-heap[0][0], -heap[0][1]) > limit:
@@ -90,7 +93,12 @@ class Tree:
                         if (bound[child], -least[child]) > limit:
                             heapq.heappush(heap, (-bound[child], least[child], child))
                     continue
-                score = self.vectors[a:b] @ queries[q] if exact else whole[a:b] @ queries[q].astype(np.int64)
+                if reach[q, at] < 2**52:
+                    score = self.vectors[a:b] @ queries[q]
+                elif reach[q, at] < 2**62:
+                    score = self.vectors[a:b].astype(np.int64) @ queries[q].astype(np.int64)
+                else:
+                    score = self.vectors[a:b].astype(np.int64).astype(object) @ queries[q].astype(np.int64).astype(object)
                 near = np.flatnonzero(score >= limit[0]) if limit[0] > -np.inf else np.arange(b - a)
                 near = near[self.ids[a:b][near] != me]  # before the cut: a query's id may have any number of rows
                 if len(near) > 4 * k:
@@ -115,7 +123,7 @@ def scaled(df: DataFrame, scale: int = SCALE) -> DataFrame:
                 if not v.is_valid or v.values.null_count:
                     continue
                 x = np.floor(scale * v.values.to_numpy())
-                if np.isfinite(x).all() and len(x) * np.abs(x).max(initial=0) ** 2 < 2**63:  # so every product fits a long
+                if np.isfinite(x).all() and np.abs(x).max(initial=0) < 2**63:
                     row.append(r)
                     vec_id.append(i)
                     vec.append(x.tobytes())
@@ -141,8 +149,8 @@ def _searcher(k: int):
         for data in trees["tree"] if len(queries) else ():
             own = queries["vec_id"].to_numpy()
             matrix = _matrix(queries["vec"].tolist(), int(queries["dim"].iloc[0]))
-            found = Tree.of_bytes(data).search(matrix, own, k, queries["worst"].fillna(-np.inf).to_numpy(), queries["worst_id"].fillna(0).to_numpy())
-            rows += [(q, i, x) for q, top in zip(queries["row"].tolist(), found) for x, i in top]
+            found = Tree.of_bytes(data).search(matrix, own, k, queries["worst"].to_numpy(), queries["worst_id"].to_numpy())
+            rows += [(q, i, max(-MOST, min(MOST, x))) for q, top in zip(queries["row"].tolist(), found) for x, i in top]
         return pd.DataFrame(rows, columns=["query", "vec_id", "score"]).astype("int64")
 
     return search
@@ -157,16 +165,18 @@ def top_k(df: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) ->
     queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
     blocks = max(1, -(-queries.count() // BLOCK))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int"))
-    none = queries.withColumn("worst", F.lit(None).cast("double")).withColumn("worst_id", F.lit(None).cast("double"))
+    worst = {"worst": F.lit(-MOST - 1), "worst_id": F.lit(MOST)}  # beaten by all
+    none = queries.withColumns(worst)
     by = ["shard", "dim", "block"]
     every_block = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     home = staged(none.groupBy(*by).cogroup(every_block.groupBy(*by)).applyInPandas(_searcher(k), FOUND), "home")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    kth = home.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").cast("double").alias("worst"), F.col("vec_id").cast("double").alias("worst_id"))
-    away = queries.join(kth, "row", "left").withColumnRenamed("shard", "home")
+    kth = home.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("worst"), F.col("vec_id").alias("worst_id"))
+    away = queries.join(kth, "row", "left").withColumns({c: F.coalesce(c, x) for c, x in worst.items()}).withColumnRenamed("shard", "home")
     away = away.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard <> home")
     other = away.groupBy(*by).cogroup(every_block.groupBy(*by)).applyInPandas(_searcher(k), FOUND)
     best = home.unionByName(other).withColumn("rank", rank).filter(F.col("rank") <= k)
+    best = best.withColumn("score", F.when(F.col("score").between(1 - MOST, MOST - 1), F.col("score")).otherwise(F.raise_error(F.lit("a score is no long")).cast("long")))
     return best.join(queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id")), "query").select("query_id", "rank", "vec_id", "score")
 
 

@@ -55,6 +55,15 @@ def test_large_components(spark):
     assert run(spark, [*rows, (100, [1e30, 0.0]), (101, [3e38, 3e38])]) == brute(rows)
 
 
+def test_wide_vectors_with_narrow_products(spark, monkeypatch):
+    """One component above 2^63 / 64 squared keeps no vector out whose products fit; doubles would not tell these scores apart."""
+    monkeypatch.setattr(kdsearch, "SHARD", 8)
+    rows = [(k, [float(k % 7), 1.0, float(k)]) for k in range(60)] + [(100, [2.0**31, 0.0, 0.0]), (150, [0.0, 2.0**40, 1.0]), (151, [0.0, 2.0**5, 1.0])]
+    assert run(spark, rows) == brute(rows)
+    with pytest.raises(Exception, match="no long"):
+        run(spark, [*rows, (152, [0.0, 2.0**40, 0.0])])
+
+
 def test_boxes_are_tight_and_leaves_whole():
     rng = np.random.default_rng(1)
     vectors, ids = rng.integers(-50, 50, (500, 5)).astype(float), np.arange(500)
