@@ -2,48 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .local import small_table
+
+
+Cell = tuple[int, int, int]
+
+
+def seen(panel: DataFrame) -> list[tuple[int, int | None]]:
+    """The distinct (t, g) of a panel: times by cohorts, few."""
+    return [(r["t"], r["g"]) for r in panel.select("t", "g").distinct().collect()]
 
-def _grid(panel: DataFrame, anticipation: int) -> DataFrame:
-    """cohort, time, base (last time before treatment, less anticipation), prev (the time before)."""
+
+def planned(grid: list[tuple], anticipation: int = 0, base_period: str = "varying") -> list[Cell]:
+    """(cohort, base_period, time) from (t, g, ...) rows.
+
+    varying: before treatment the base is the time before, then the last time before treatment (less anticipation).
+    universal: that time is the base of every time, of itself too.
+    """
     if anticipation < 0:
         raise ValueError("'anticipation' must be >= 0")
-    times = panel.select("t").distinct().withColumn("prev", F.lag("t").over(Window.orderBy("t")))
-    first = panel.agg(F.min("t").alias("first"))
-    cohorts = panel.select("g").filter("g is not null").distinct().crossJoin(F.broadcast(first)).filter(F.col("g") > F.col("first") + anticipation)
-    pairs = cohorts.select("g").crossJoin(F.broadcast(times))  # distinct cohorts by distinct times
-    before = F.max(F.when(F.col("t") < F.col("g") - anticipation, F.col("t"))).over(Window.partitionBy("g"))
-    return pairs.select(F.col("g").alias("cohort"), F.col("t").alias("time"), "prev", before.alias("base"))
+    times = sorted({r[0] for r in grid if r[0] is not None})
+    out = []
+    for cohort in sorted({r[1] for r in grid if r[1] is not None}):
+        early = bisect_left(times, cohort - anticipation)
+        if not times or cohort <= times[0] + anticipation or early == 0:
+            continue
+        last = times[early - 1]
+        if base_period == "universal":
+            out += [(cohort, last, t) for t in times]
+        else:
+            out += [(cohort, last if t >= cohort else before, t) for before, t in zip(times, times[1:])]
+    return out
+
+
+def possible(cells: list[Cell], grid: list[tuple]) -> list[Cell]:
+    """Cells whose cohort is observed at both times, and those whose times are one."""
+    have = {(r[1], r[0]) for r in grid}
+    return [c for c in cells if c[1] == c[2] or ((c[0], c[1]) in have and (c[0], c[2]) in have)]
+
+
+CELLS = "cohort int, base_period int, time int"
 
 
 def varying(panel: DataFrame, anticipation: int = 0) -> DataFrame:
-    """cohort, base_period, time: before treatment the base is the time before, then the last time before treatment."""
-    post = F.col("time") >= F.col("cohort")
-    out = _grid(panel, anticipation).filter("prev is not null")
-    return out.select("cohort", F.when(post, F.col("base")).otherwise(F.col("prev")).alias("base_period"), "time").filter("base_period is not null")
+    """cohort, base_period, time. panel: t, g."""
+    return small_table(panel.sparkSession, planned(seen(panel), anticipation), CELLS)
 
 
 def universal(panel: DataFrame, anticipation: int = 0) -> DataFrame:
-    """cohort, base_period, time: the last time before treatment is the base of every time, of itself too."""
-    return _grid(panel, anticipation).select("cohort", F.col("base").alias("base_period"), "time").filter("base_period is not null")
+    return small_table(panel.sparkSession, planned(seen(panel), anticipation, "universal"), CELLS)
 
 
-def by_stratum(cells: DataFrame, panel: DataFrame, strata: str) -> DataFrame:
-    """The cells once for each stratum (whole floats as integers)."""
+def stratum(panel: DataFrame, strata: str) -> Column:
+    """The column of strata: NaN is null, and whole floats are integers if all of them are whole."""
     column = F.col(strata)
-    if dict(panel.dtypes)[strata] in ("double", "float") and not panel.filter(column.isNotNull() & ~F.isnan(column) & (column != F.floor(column))).limit(1).count():
-        column = F.when(~F.isnan(column), column).cast("long")
-    return cells.crossJoin(F.broadcast(panel.select(column.alias("stratum")).filter("stratum is not null").distinct()))
+    if dict(panel.dtypes)[strata] not in ("double", "float"):
+        return column
+    column = F.when(~F.isnan(column), column)
+    return column if panel.filter(column != F.floor(column)).limit(1).count() else column.cast("long")
+
+
+def strata_of(panel: DataFrame, strata: str) -> DataFrame:
+    """The distinct strata, as stratum."""
+    return panel.select(stratum(panel, strata).alias("stratum")).filter("stratum is not null").distinct()
+
+
+def by_stratum(cells: DataFrame, panel: DataFrame, strata: str) -> DataFrame:
+    """The cells once for each stratum."""
+    return cells.crossJoin(F.broadcast(strata_of(panel, strata)))  # a row for each cell and stratum
 
 
 def feasible(cells: DataFrame, panel: DataFrame) -> DataFrame:
     """Cells whose cohort is observed at both times, and those whose times are one."""
-    seen = panel.select(F.col("g").alias("cohort"), F.col("t").alias("seen")).distinct()
+    at = panel.select(F.col("g").alias("cohort"), F.col("t").alias("at")).distinct()
     both = cells
     for c in ("base_period", "time"):
-        both = both.join(seen.withColumnRenamed("seen", c), ["cohort", c], "left_semi")
+        both = both.join(at.withColumnRenamed("at", c), ["cohort", c], "left_semi")
     return both.unionByName(cells.filter("base_period = time")).distinct().select(*cells.columns)
 
 

@@ -12,15 +12,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.functions.calendar import calendar, number_of
+from cohortlake.functions.calendar import Calendar, calendar_of
 
-RESERVED = ("_relative_time", "_cohort", "_treated", "_control", "_after_event", "_w")
+#: The engine's own columns beside the caller's: entity, time and cohort as numbers, and an entity's first and last time.
+UNIT, T, G, FIRST, LAST = "_unit", "_t", "_g", "_first", "_last"
+RESERVED = ("_relative_time", "_cohort", "_treated", "_control", "_after_event", "_w", UNIT, T, G, FIRST, LAST)
 TIMES = ("timestamp", "date", "timestamp_ntz")
 
 
 @dataclass
 class Panel:
-    """df has the caller's columns and unit, t, g (null: never treated)."""
+    """df has the caller's columns, whatever their names, and _unit, _t, _g (null: never treated)."""
 
     df: DataFrame
     entity: str
@@ -29,8 +31,8 @@ class Panel:
     is_panel: bool
     is_balanced: bool
     no_never_treated: bool = False
-    #: number -> date, where times are timestamps.
-    dates: dict[int, object] | None = None
+    #: Where times are timestamps.
+    dates: Calendar | None = None
     notes: list[str] = field(default_factory=list)
     #: (time, cohort, rows) of df.
     grid: list[tuple] = field(default_factory=list)
@@ -42,27 +44,27 @@ def no_nan(df: DataFrame, column: str) -> Column:
 
 
 def with_spans(df: DataFrame) -> DataFrame:
-    """df with its entity's cohort as g, and first and last time as first_t and last_t."""
-    own = Window.partitionBy("unit")
-    return df.withColumns({"g": F.max("g").over(own), "first_t": F.min("t").over(own), "last_t": F.max("t").over(own)})
+    """df with its entity's cohort as _g, and first and last time as _first and _last."""
+    own = Window.partitionBy(UNIT)
+    return df.withColumns({G: F.max(G).over(own), FIRST: F.min(T).over(own), LAST: F.max(T).over(own)})
 
 
 def drop_always_treated(df: DataFrame) -> DataFrame:
     """Without entities whose cohort is not after their own first time. df: of with_spans."""
-    return df.filter("g is null or g > first_t")
+    return df.filter(F.col(G).isNull() | (F.col(G) > F.col(FIRST)))
 
 
 def treated_after_to_never(df: DataFrame) -> DataFrame:
     """Cohorts after an entity's own last time become null. df: of with_spans."""
-    return df.withColumn("g", F.when(F.col("g") <= F.col("last_t"), F.col("g")))
+    return df.withColumn(G, F.when(F.col(G) <= F.col(LAST), F.col(G)))
 
 
 def last_cohort_as_control(df: DataFrame, last: int, anticipation: int = 0) -> DataFrame:
     """The last cohort counts as never treated, and only times before it (less anticipation) stay."""
-    return df.filter(F.col("t") < last - anticipation).withColumn("g", F.when(F.col("g") != last, F.col("g")))
+    return df.filter(F.col(T) < last - anticipation).withColumn(G, F.when(F.col(G) != last, F.col(G)))
 
 
-def is_balanced(df: DataFrame, time: str = "t") -> bool:
+def is_balanced(df: DataFrame, time: str = T) -> bool:
     """Whether all times have the same number of rows."""
     r = df.groupBy(time).count().agg(F.min("count"), F.max("count")).first()
     return r[0] == r[1]
@@ -76,7 +78,7 @@ def time_varying(df: DataFrame, entity: str, columns: list[str], rtol: float | N
         wide = df.groupBy(entity).agg(*(F.countDistinct(c).alias(c) for c in columns)).agg(*(F.max(c).alias(c) for c in columns)).first()
         return [c for c in columns if (wide[c] or 0) > 1]
     rtol, atol = rtol or 1e-5, atol or 1e-8
-    order = Window.partitionBy(entity).orderBy(time or "t")
+    order = Window.partitionBy(entity).orderBy(time or T)
     far = [F.max(F.abs(F.col(c) - F.col(f"_{c}")) > atol + rtol * F.abs(f"_{c}")).alias(c) for c in columns]
     row = df.select(*columns, *(F.lag(c).over(order).alias(f"_{c}") for c in columns)).agg(*far).first()
     return [c for c in columns if row[c]]
@@ -93,7 +95,7 @@ def prepare(
     warn: bool = True,
 ) -> Panel:
     """Validates data and applies the rules for treated entities. cohort_data: entity and cohort, if not in data."""
-    if bad := [c for c in data.columns if c in RESERVED]:
+    if bad := [c for c in data.columns if c.lower() in RESERVED]:
         raise ValueError(f"reserved column names: {bad}")
     if cohort_data is not None:
         if cohort_data.groupBy(entity, cohort).count().filter("count > 1").limit(1).count():
@@ -105,13 +107,12 @@ def prepare(
         raise ValueError("time and cohort must both be numbers or both be timestamps")
     dates = None
     if dated:
-        days = calendar(data, time, freq)
-        t, g = number_of(F.col(time), days, freq), number_of(F.col(cohort), days, freq)
-        dates = {r["number"]: r["date"] for r in days.collect()}
+        dates = calendar_of(data, time, freq)
+        t, g = dates.number(F.col(time)), dates.number(F.col(cohort))
     else:
         t, g = F.col(time).cast("int"), no_nan(data, cohort).cast("int")
-    df = data.withColumns({"unit": F.col(entity), "t": t, "g": g})
-    per = df.groupBy("unit").agg(F.count("*").alias("n"), F.count("g").alias("k"), F.max("g").alias("g"), F.min("g").alias("g0"), F.min("t").alias("a"), F.max("t").alias("b"))
+    df = data.withColumns({UNIT: F.col(entity), T: t, G: g})
+    per = df.groupBy(UNIT).agg(F.count("*").alias("n"), F.count(G).alias("k"), F.max(G).alias("g"), F.min(G).alias("g0"), F.min(T).alias("a"), F.max(T).alias("b"))
     early, late = F.coalesce(F.col("g") <= F.col("a"), F.lit(False)), F.coalesce(F.col("g") > F.col("b"), F.lit(False))
     s = per.agg(
         F.sum("n").alias("n"),
@@ -132,7 +133,7 @@ def prepare(
     is_panel = s["units"] != s["n"] and s["units"] > 0
     if is_panel:
         if s["early"] or s["late"] or s["mixed"]:  # else every row has its entity's cohort, and no rule applies
-            df = treated_after_to_never(drop_always_treated(with_spans(df))).drop("first_t", "last_t")
+            df = treated_after_to_never(drop_always_treated(with_spans(df))).drop(FIRST, LAST)
         if s["early"]:
             notes.append(f"{s['early']} entities dropped: always treated (from before their first time)")
         if s["late"]:
@@ -143,7 +144,7 @@ def prepare(
             notes.append("no never treated entities: the last cohort is the comparison group, and only earlier times are kept")
     for note in notes if warn else ():
         warnings.warn(note, stacklevel=3)
-    grid = [(r["t"], r["g"], r["n"]) for r in df.groupBy("t", "g").agg(F.count("*").alias("n")).collect()]  # times x cohorts
+    grid = [(r[T], r[G], r["n"]) for r in df.groupBy(T, G).agg(F.count("*").alias("n")).collect()]  # times x cohorts
     sizes = row_counts(grid)
     return Panel(df, entity, time, cohort, is_panel, is_panel and len(set(sizes.values())) <= 1, flag, dates, notes, grid)
 

@@ -39,17 +39,31 @@ def unit_rows(df: DataFrame, values: list[str], samples: bool) -> DataFrame:
     return out if samples else out.withColumn("sample", F.lit("full_sample"))
 
 
-def panel_rows(units: DataFrame, cells: DataFrame, control_group: str, strata: bool, anticipation: int, n_base: int, delta: bool) -> DataFrame:
+def met_cells(units: DataFrame, cells: DataFrame, control_group: str, strata: bool, anticipation: int) -> DataFrame:
+    """Units by the cells they are treated or control in, by equality: a unit asks for the cells of its own cohort, and for
+    those whose later time is one of the times at which it may serve as a control. d: whether it is treated there."""
+    later = F.greatest("time", "base_period")
+    kinds = F.array(F.struct(F.lit(True).alias("d"), F.col("cohort").alias("at")), F.struct(F.lit(False).alias("d"), later.alias("at")))
+    keyed = cells.withColumn("_key", F.explode(kinds)).select("*", "_key.d", "_key.at").drop("_key")
+    own = F.array(F.struct(F.lit(True).alias("d"), F.col("g").alias("at")))
+    yet = (lambda t: F.lit(False)) if control_group == "never_treated" else (lambda t: F.coalesce(F.col("g") > t + anticipation, F.lit(False)))
+    # a comparison needs a unit at both times of a cell, so the times it is observed at are all that it may serve
+    times = F.transform(F.filter(F.map_keys("obs"), lambda t: F.col("g").isNull() | yet(t)), lambda t: F.struct(F.lit(False).alias("d"), t.alias("at")))
+    asked = F.concat(F.when(F.col("g").isNotNull(), own).otherwise(F.array().cast("array<struct<d:boolean,at:int>>")), times)
+    met = units.withColumn("_key", F.explode(asked)).select("*", "_key.d", "_key.at").drop("_key").join(F.broadcast(keyed), ["d", "at"])  # two rows for each cell
+    return met.filter(F.col("d") == treated(strata))
+
+
+def panel_rows(units: DataFrame, cells: DataFrame, control_group: str, strata: bool, anticipation: int, delta: bool) -> DataFrame:
     """y is the change of the outcome; x come from the earlier time, and changes of dx are appended."""
-    d, c = treated(strata), control(control_group, strata, anticipation)
-    met = units.join(F.broadcast(cells), d | c)  # cohorts x times: cells are few
+    met = met_cells(units, cells, control_group, strata, anticipation)
     met = met.withColumns({"a": F.col("obs")[F.col("base_period")], "b": F.col("obs")[F.col("time")]}).filter("a is not null and b is not null")
     early = F.when(F.col("time") < F.col("base_period"), F.col("b")).otherwise(F.col("a"))
     met = met.withColumn("early", early)
     x = F.col("early.x")
     if delta:
         x = F.concat(x, F.zip_with("b.dx", "a.dx", lambda b, a: b - a))
-    return met.select("sample", "cell_id", "unit", d.cast("double").alias("d"), (F.col("b.y") - F.col("a.y")).alias("y"), x.alias("x"), F.col("early.w").alias("w"))
+    return met.select("sample", "cell_id", "unit", F.col("d").cast("double").alias("d"), (F.col("b.y") - F.col("a.y")).alias("y"), x.alias("x"), F.col("early.w").alias("w"))
 
 
 def cross_section_rows(df: DataFrame, cells: DataFrame, control_group: str, strata: bool, anticipation: int) -> DataFrame:

@@ -15,7 +15,7 @@ from cohortlake.operators import cells as planning
 from cohortlake.operators import contrast
 from cohortlake.operators import estimators, inference, xsection
 from cohortlake.operators.local import small_table
-from cohortlake.operators.panel import no_nan, prepare, time_varying
+from cohortlake.operators.panel import G, T, UNIT, no_nan, prepare, time_varying
 
 FULL = "full_sample"
 BASES = {"var": "varying", "uni": "universal"}
@@ -24,6 +24,11 @@ MOST_CELLS = 200_000
 CONTROLS = {"nev": "never_treated", "not": "not_yet_treated"}
 
 
+def _limit(n: int) -> None:
+    if n > MOST_CELLS:
+        raise ValueError(f"{n} cells or more: choose some with filter_cells, or coarser times, strata or samples")
+
+
 class ATTgt:
     """data: a DataFrame whose rows are keyed by entity_name and time_name (its first two columns, if not named)."""
 
@@ -50,27 +55,41 @@ class ATTgt:
         self._data = data.persist()
         self.panel = prepare(self._data, self.entity_name, self.time_name, cohort_name, anticipation, freq, cohort_data)
         self.is_panel, self.is_balanced_panel = self.panel.is_panel, self.panel.is_balanced
-        self._fitted = False
+        self._fitted, self._stratum = False, None
         self._kept: list[DataFrame] = []
         self._results: dict[tuple, DataFrame] = {}
 
     # -- planning ---------------------------------------------------------------------------------------------------
 
+    def _planned(self, feasible: bool = False) -> list[tuple]:
+        """(cohort, base_period, time, stratum) of every cell, by stratum, cohort and time. Raises above MOST_CELLS, before any collect."""
+        found = planning.planned(self.panel.grid, self.anticipation, self.base_period_type)
+        if feasible:
+            found = planning.possible(found, self.panel.grid)
+        strata: list[object] = [None]
+        if self.strata_name and found:
+            strata = [r[0] for r in self._strata_table().limit(MOST_CELLS // len(found) + 1).collect()]
+        _limit(len(found) * len(strata))
+        return [(*c, s) for s in sorted(strata, key=str) for c in found]
+
     def group_time(self, feasible: bool = False) -> DataFrame:
         """The cells: cohort, base_period, time (, stratum)."""
-        plan = planning.varying if self.base_period_type == "varying" else planning.universal
-        seen = small_table(self.panel.df.sparkSession, [(t, g) for t, g, _ in self.panel.grid], "t int, g int")
-        found = plan(seen, self.anticipation)
-        if feasible:
-            found = planning.feasible(found, seen)
-        return planning.by_stratum(found, self.panel.df, self.strata_name) if self.strata_name else found
+        found = self._planned(feasible)
+        if not self.strata_name:
+            return small_table(self.panel.df.sparkSession, [c[:3] for c in found], planning.CELLS)
+        return small_table(self.panel.df.sparkSession, found, f"{planning.CELLS}, stratum {self._strata_table().schema['stratum'].dataType.simpleString()}")
+
+    def _strata_table(self) -> DataFrame:
+        if self._stratum is None:
+            self._stratum = planning.stratum(self.panel.df, self.strata_name)
+        return self.panel.df.select(self._stratum.alias("stratum")).filter("stratum is not null").distinct()
 
     def _covariates(self, names: list[str], columns: list[Column], df: DataFrame, base_delta: object) -> tuple[list[str], list[str]]:
         """Which design columns enter as levels and which as changes."""
         bare = [n for n in names if n != INTERCEPT]
         if base_delta == "base" or base_delta == ["base"]:
             return names, []
-        varied = df.select("unit", *(c.alias(f"x{k}") for k, c in enumerate(columns)))
+        varied = df.select(F.col(UNIT).alias("unit"), *(c.alias(f"x{k}") for k, c in enumerate(columns)))
         found = time_varying(varied, "unit", [f"x{k}" for k, n in enumerate(names) if n != INTERCEPT])
         varying = [n for k, n in enumerate(names) if f"x{k}" in found]
         if isinstance(base_delta, dict):
@@ -138,7 +157,7 @@ class ATTgt:
         clusters = [c for c in clusters if c != self.entity_name]
         if len(clusters) > 1:
             raise ValueError("at most one cluster variable besides the entity")
-        if clusters and self.is_panel and time_varying(df, "unit", clusters):
+        if clusters and self.is_panel and time_varying(df, UNIT, clusters):
             raise ValueError("the cluster variable must not vary over time")
         base, delta = ((plan.names, []) if cross else self._covariates(plan.names, plan.columns, df, base_delta))
         column = dict(zip(plan.names, plan.columns))
@@ -148,11 +167,10 @@ class ATTgt:
         elif split_sample_by is not None:
             sample = F.when(split_sample_by(df), "split = True").otherwise("split = False")
         weight = F.col(weights_name).cast("double") if weights_name else F.lit(1.0)
-        s = F.col(strata) if strata else F.lit(None).cast("string")
-        if strata and dict(df.dtypes)[strata] in ("double", "float"):
-            s = F.when(~F.isnan(strata), F.col(strata)).cast("long")
+        found_cells = self._planned()
+        s = self._stratum if strata and self._stratum is not None else F.lit(None).cast("string")
         values = df.select(
-            sample.alias("sample"), "unit", "t", "g", s.alias("s"), F.expr(y_name).cast("double").alias("y"), weight.alias("w"),
+            sample.alias("sample"), F.col(UNIT).alias("unit"), F.col(T).alias("t"), F.col(G).alias("g"), s.alias("s"), F.expr(y_name).cast("double").alias("y"), weight.alias("w"),
             F.array(*(column[n] for n in base) if base else [F.lit(None).cast("double")]).alias("x"), F.array(*(column[n] for n in delta)).cast("array<double>").alias("dx"),
             *([F.col(clusters[0]).alias("cluster")] if clusters else []),
         ).filter("sample is not null")
@@ -161,28 +179,24 @@ class ATTgt:
         if not base:
             values = values.withColumn("x", F.array().cast("array<double>"))
         by_unit = self.is_panel or not cross
-        if not by_unit:
-            values = values.withColumn("unit", F.col("unit"))
         values = values.persist()
         self._kept.append(values)
-        cell_rows = self.group_time(feasible=False)
         if filter_cells:
-            cell_rows = planning.chosen(cell_rows, **filter_cells)
-        names = ["cohort", "base_period", "time", *(["stratum"] if strata else [])]
-        found_cells = sorted((tuple(r[n] for n in names) for r in cell_rows.select(*names).collect()), key=lambda r: (str(r[3]) if strata else "", r[0], r[2]))  # cohorts x times x strata
-        if len(found_cells) > MOST_CELLS:
-            raise ValueError(f"{len(found_cells)} cells: choose some with filter_cells, or coarser times")
+            names = ["cohort", "base_period", "time", *(["stratum"] if strata else [])]
+            some = {tuple(r[n] for n in names) for r in planning.chosen(self.group_time(), **filter_cells).collect()}  # the planned cells at most
+            found_cells = [c for c in found_cells if c[: len(names)] in some]
         stratum_type = values.schema["s"].dataType.simpleString()
         spark = df.sparkSession
-        small = small_table(spark, [(k, *c, *([] if strata else [None])) for k, c in enumerate(found_cells)], f"cell_id int, cohort int, base_period int, time int, stratum {stratum_type}")
+        small = small_table(spark, [(k, *c) for k, c in enumerate(found_cells)], f"cell_id int, cohort int, base_period int, time int, stratum {stratum_type}")
         work = small.filter("base_period <> time")
         units = values.groupBy("sample", "unit").agg(F.max("g").alias("g"), F.max("s").alias("s"), F.min_by("w", "t").alias("w"), *([F.first("cluster").alias("cluster")] if clusters else [])) if by_unit else values.select("sample", "unit", "g", "s", "w", *(["cluster"] if clusters else []))
-        totals = {r["sample"]: r["n"] for r in units.groupBy("sample").agg(F.count("*").alias("n")).collect()}  # samples
+        totals = {r["sample"]: r["n"] for r in units.groupBy("sample").agg(F.count("*").alias("n")).limit(MOST_CELLS // max(1, len(found_cells)) + 1).collect()}
+        _limit(len(totals) * len(found_cells))
         if cross:
             rows = xsection.cross_section_rows(values, work, control, bool(strata), self.anticipation)
         else:
             gathered = xsection.unit_rows(values, ["y", "w", "x", "dx"], True)
-            rows = xsection.panel_rows(gathered, work, control, bool(strata), self.anticipation, len(base), bool(delta))
+            rows = xsection.panel_rows(gathered, work, control, bool(strata), self.anticipation, bool(delta))
         k = len(base) + len(delta)
         if method != "reg" or k > 1 or callable(method):
             rows = rows.persist()
@@ -216,7 +230,7 @@ class ATTgt:
                 reference = c[1] == c[2]
                 value, n = (0.0, None) if reference else att.get((name, cell_id), (None, None))
                 error = None if value is not None else errors.get((name, cell_id), "no rows")
-                self._cells.append({"sample": name, "cell_id": cell_id, "cohort": c[0], "base_period": c[1], "time": c[2], "stratum": c[3] if strata else None, "att": value, "n_sample": n, "n_total": totals[name], "error": error})
+                self._cells.append({"sample": name, "cell_id": cell_id, "cohort": c[0], "base_period": c[1], "time": c[2], "stratum": c[3], "att": value, "n_sample": n, "n_total": totals[name], "error": error})
         self._psi, self._units, self._totals = psi, units, totals
         self._cluster = clusters[0] if clusters else None
         self._cross, self._cluster_by_entity = cross, by_unit
@@ -253,11 +267,9 @@ class ATTgt:
 
     def _dated(self, df: DataFrame) -> DataFrame:
         """Numbers of times back to dates."""
-        if not self.panel.dates:
+        if self.panel.dates is None:
             return df
-        pairs = [x for k, v in self.panel.dates.items() for x in (F.lit(k), F.lit(v))]
-        table = F.create_map(*pairs)
-        return df.withColumns({c: F.element_at(table, F.col(c)) for c in ("cohort", "base_period", "time") if c in df.columns})
+        return df.withColumns({c: self.panel.dates.date(F.col(c)) for c in ("cohort", "base_period", "time") if c in df.columns})
 
     def _inferred(self, table: DataFrame, psi: DataFrame, key: str, n: dict[int, int], alpha: float, boot: int, seed: int | None, clusters: DataFrame | None) -> DataFrame:
         """table (key, ATT, n_total) with std_error and band; boot: bootstrap draws, 0 for the analytic ones."""
@@ -342,7 +354,7 @@ class ATTgt:
         clusters = self._clusters()
         if cluster_var is not None and clusters is None:
             name = cluster_var if isinstance(cluster_var, str) else next((c for c in cluster_var if c != self.entity_name), None)
-            clusters = self.panel.df.groupBy("unit").agg(F.first(name).alias("cluster")) if name else None
+            clusters = self.panel.df.groupBy(F.col(UNIT).alias("unit")).agg(F.first(name).alias("cluster")) if name else None
         field = agg.FIELD.get(type_of_aggregation) if not overall else None
         if not difference:
             table = small_table(spark, [(k, a.sample, a.stratum, a.value, a.att, self._totals[a.sample]) for k, a in enumerate(found)], f"agg_id int, sample_name string, stratum {kind}, value int, ATT double, n_total long")

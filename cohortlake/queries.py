@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as sql
-from .functions.calendar import calendar, number_of
+from .functions.calendar import calendar_of
 from .operators import cells as planning
 from .operators import panel as rules
 from .operators import paneltools as tools
@@ -71,7 +71,16 @@ def weeks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _canonical(df: DataFrame) -> DataFrame:
-    return df.withColumnsRenamed({"year": "t"}).withColumn("unit", F.col("e"))
+    return df.withColumnsRenamed({"year": "t"})
+
+
+def _spans(df: DataFrame) -> DataFrame:
+    return rules.with_spans(df.withColumns({rules.UNIT: F.col("e"), rules.T: F.col("year"), rules.G: F.col("g")}))
+
+
+def _ruled(df: DataFrame) -> DataFrame:
+    """The caller's columns with the rules' times and cohorts in place of its own."""
+    return df.withColumns({"t": F.col(rules.T), "g": F.col(rules.G)})
 
 
 def _effects(df: DataFrame, *keys: str) -> DataFrame:
@@ -100,7 +109,7 @@ query("cells_anticipation", sql.build(sql.F1, sql.PLAIN, sql.cells(1), out=_CELL
     sql.build(sql.F2, sql.RULES + ", p2 AS (SELECT * FROM p WHERE NOT (g = 1998 AND t = 1999))", sql.cells(), out=f"{_CELLS} WHERE base = tt OR ((cg, tt) IN (SELECT g, t FROM p2) AND (cg, base) IN (SELECT g, t FROM p2))"),
 )
 def cells_feasible(spark: SparkSession, d: str) -> DataFrame:
-    df = rules.treated_after_to_never(rules.drop_always_treated(rules.with_spans(_canonical(customers(spark, d)))))
+    df = _ruled(rules.treated_after_to_never(rules.drop_always_treated(_spans(customers(spark, d)))))
     seen = df.filter("g is null or not (g = 1998 and t = 1999)")
     return _cells(planning.feasible(planning.varying(df), seen))
 
@@ -123,24 +132,23 @@ _SPANS = "spans AS (SELECT *, max(g) OVER (PARTITION BY e) AS gg, min(t) OVER (P
 
 @query("drop_always_treated", sql.build(sql.F2, _SPANS, out="SELECT e, t, coalesce(g, 0)::INT AS g, round(y, 4) AS y FROM spans WHERE gg IS NULL OR gg > a"))
 def drop_always_treated(spark: SparkSession, d: str) -> DataFrame:
-    return rules.drop_always_treated(rules.with_spans(_canonical(customers(spark, d)))).selectExpr("e", "t", NEVER, "round(y, 4) AS y")
+    return _ruled(rules.drop_always_treated(_spans(customers(spark, d)))).selectExpr("e", "t", NEVER, "round(y, 4) AS y")
 
 
 @query("treated_after_to_never", sql.build(sql.F2, _SPANS, out="SELECT e, t, coalesce(CASE WHEN gg <= b THEN gg END, 0)::INT AS g FROM spans"))
 def treated_after(spark: SparkSession, d: str) -> DataFrame:
-    return rules.treated_after_to_never(rules.with_spans(_canonical(customers(spark, d)))).selectExpr("e", "t", NEVER)
+    return _ruled(rules.treated_after_to_never(_spans(customers(spark, d)))).selectExpr("e", "t", NEVER)
 
 
 @query("no_never_treated", sql.build(sql.F1, out="SELECT e, t, coalesce(CASE WHEN g <> 1999 THEN g END, 0)::INT AS g FROM p0 WHERE g IS NOT NULL AND t < 1999"))
 def no_never_treated(spark: SparkSession, d: str) -> DataFrame:
     found = rules.prepare(suppliers(spark, d).filter("g is not null"), "e", "year", "g", warn=False)
-    return found.df.selectExpr("e", "t", NEVER)
+    return _ruled(found.df).selectExpr("e", "t", NEVER)
 
 
 @query("balance_check", f"WITH {sql.F1}, {sql.F2.replace('p0 AS', 'p2 AS')} SELECT 'customers' AS panel, min(n) = max(n) AS balanced FROM (SELECT count(*) AS n FROM p2 GROUP BY t) UNION ALL SELECT 'suppliers', min(n) = max(n) FROM (SELECT count(*) AS n FROM p0 GROUP BY t)")
 def balance_check(spark: SparkSession, d: str) -> DataFrame:
-    check = lambda df, name: df.groupBy("year").count().agg((F.min("count") == F.max("count")).alias("balanced")).select(F.lit(name).alias("panel"), "balanced")
-    return check(suppliers(spark, d), "suppliers").unionByName(check(customers(spark, d), "customers"))
+    return spark.createDataFrame([(f.__name__, rules.is_balanced(f(spark, d), "year")) for f in (suppliers, customers)], "panel string, balanced boolean")
 
 
 @query("time_varying_covars", f"WITH {sql.F1} SELECT c AS name FROM (SELECT unnest(['q', 's', 'x', 'w']) AS c, unnest([max(a), max(b), max(f), max(h)]) AS n FROM (SELECT count(DISTINCT q) AS a, count(DISTINCT s) AS b, count(DISTINCT x) AS f, count(DISTINCT w) AS h FROM p0 GROUP BY e)) WHERE n > 1")
@@ -151,7 +159,7 @@ def time_varying_covars(spark: SparkSession, d: str) -> DataFrame:
 @query("calendar_map", "SELECT DISTINCT user_id AS e, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, (1000 + date_diff('day', (SELECT min(date_trunc('week', ts)) FROM events), date_trunc('week', ts)) // 7)::INT AS number FROM events")
 def calendar_map(spark: SparkSession, d: str) -> DataFrame:
     df = weeks(spark, d)
-    number = number_of(F.col("week"), calendar(df, "week", "W-MON"), "W-MON")
+    number = calendar_of(df, "week", "W-MON").number(F.col("week"))
     return df.select("e", F.date_format("week", "yyyy-MM-dd").alias("week"), number.cast("int").alias("number"))
 
 

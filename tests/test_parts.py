@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -67,10 +69,10 @@ def test_rules(spark):
     with pytest.warns(UserWarning):
         p = rules.prepare(panel(spark, rows), "e", "t", "g")
     assert p.is_panel and p.is_balanced and len(p.notes) == 2
-    assert {(r["e"], r["g"]) for r in p.df.select("e", "g").distinct().collect()} == {("late", None), ("in", 2), ("never", None)}
+    assert {(r["e"], r["g"]) for r in p.df.select("e", F.col(rules.G).alias("g")).distinct().collect()} == {("late", None), ("in", 2), ("never", None)}
     with pytest.warns(UserWarning):
         p = rules.prepare(panel(spark, [r for r in rows if r[0] == "in"] + [("x", t, 3.0, 1.0) for t in (1, 2, 3)]), "e", "t", "g")
-    assert p.no_never_treated and {r["t"] for r in p.df.collect()} == {1, 2}
+    assert p.no_never_treated and {r[rules.T] for r in p.df.collect()} == {1, 2}
 
 
 def test_rules_reject(spark):
@@ -86,7 +88,7 @@ def test_separate_cohorts(spark):
     df = panel(spark, [(e, t, None, 1.0) for e in "abc" for t in (1, 2, 3)])
     given = spark.createDataFrame([("a", 2), ("b", 3)], "e string, g int")
     p = rules.prepare(df, "e", "t", "g", cohort_data=given)
-    assert {(r["e"], r["g"]) for r in p.df.select("e", "g").distinct().collect()} == {("a", 2), ("b", 3), ("c", None)}
+    assert {(r["e"], r["g"]) for r in p.df.select("e", F.col(rules.G).alias("g")).distinct().collect()} == {("a", 2), ("b", 3), ("c", None)}
     with pytest.raises(ValueError):
         rules.prepare(df, "e", "t", "g", cohort_data=given.unionByName(given))
 
@@ -173,10 +175,15 @@ def test_streamed_means_equal_batch(spark, tmp_path):
     assert pick(spark.table("means")) == pick(windowed_means(events, "user_id", "ts", "value")) != []
 
 
-def test_entry_without_the_training_data_operators(tmp_path):
-    import shutil
+@pytest.mark.parametrize("also", [(), ("corpus_pipeline.py",)])
+def test_entry_without_the_training_data_operators(tmp_path, also):
+    """With both folders gone, and the pipeline left or gone; nothing of this repository is on the Python path."""
+    shutil.copytree(TOP, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", *also))
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), set(e.oracle_sql()) <= set(q), 'pipeline' in q, any(n.startswith('op') for n in q))"
+    path = os.pathsep.join(p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and not Path(p, "__spark_entry__.py").exists())
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", env=os.environ | {"PYTHONPATH": path}, capture_output=True, text=True)
+    assert out.stdout.split()[1:] == ["True", "False", "False"], out.stderr
 
-    shutil.copytree(TOP, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
-    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), set(e.oracle_sql()) <= set(q), 'pipeline' in q)"], cwd=tmp_path / "r", capture_output=True, text=True)
-    assert out.stdout.split()[1:] == ["True", "False"], out.stderr
+
+def test_nothing_imports_the_training_data_operators():
     assert not any("cohortlake.llm" in (text := p.read_text()) or "import llm" in text for p in Path(TOP, "cohortlake").glob("**/*.py") if "llm" not in p.parts)
