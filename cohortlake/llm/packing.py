@@ -2,12 +2,14 @@
 
 A configuration is a multiset of piece lengths that fits one sequence. Its program, as few configurations as cover
 every length's count, depends on the histogram alone, which has at most ``capacity`` entries however large the corpus.
-Multiplicative weights give each length a price, a knapsack dynamic program finds the configuration of the highest price,
-and the fractional solution over fillings without loss is rounded as the counts allow; what is left is placed by best-fit
-decreasing over groups of equal sequences. Where that needs more sequences than the tokens fill, the program over all
-configurations, full or not, is solved by simplex steps with the same pricing, for all lengths and for what the fillings
-left, until its dual bound shows that nothing is to be gained (or after ``PIVOTS`` steps); the solution of fewest sequences
-counts, plain best fit among them. Pieces find their place from their rank among pieces of equal
+It is solved by multiplicative weights. Prices of lengths start at their share of a sequence, the dual of filling without
+loss. A pass covers all counts in fractions: in each of its rounds a knapsack dynamic program over the prices, raised by how much
+of a length is still uncovered, gives columns for the least covered lengths, full or not; columns of low worth wait for
+later rounds. After a pass the price of each length rises by the factor exp(rate x loss), the loss being what the columns
+that hold it fell short of the best column's worth, and the next pass begins. Every pass's prices give a bound that no
+packing goes below. The fractional solution is rounded as the counts allow, and what that leaves is placed by best fit, also beside
+what the columns left room for. The fewest sequences of all passes and of plain best fit count, with as much placed by
+the program as can be; passes end where the bound is nearly met. Pieces find their place from their rank among pieces of equal
 length: counts for each task and length, added up, stand for any global sort.
 
 Null text reads as empty (the end token alone). Equal rows are packed once each. An empty table gives no rows.
@@ -19,6 +21,9 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +36,17 @@ from .tokens import encoder
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
-#: Rounds of pricing, and columns of a round; more leave less to best fit.
-ROUNDS, COLUMNS = 250, 32
-#: How strongly the price of a length rises with the share of it that is still to be placed.
-RATE = 0.02
-#: Prices grow a little faster than lengths: of fillings without loss, those of long pieces come first.
-BENT = 1.01
-#: Configurations that fill less of a sequence are no columns of the first program; the covering program takes all.
-FULL = 1.0
-#: Simplex steps of the covering program at most; it ends earlier where its bound is met.
-PIVOTS, NEAR = 3000, 1e-9
-#: How many lengths it starts with, and goes on with, before it takes all.
-STEPS = (64, 512)
+#: Passes over the program, rounds of pricing in each, and columns of a round.
+PASSES, ROUNDS, COLUMNS = 6, 120, 384
+#: How strongly prices rise after a pass (less each time), and within one with the share of a length still uncovered.
+RATE, WITHIN = 2.0, 0.05
+#: Amounts from here on are halved in the first half of a pass; smaller ones stay whole, so short counts need no rounding.
+HALVED = 32
+#: What rounding tries: the worth a column needs, and the share of each column's use that is rounded. The rest goes to best fit.
+WORTHS, SHARES = (0.0, 0.9, 0.995, 1 - 1e-9), (1.0, 0.97, 0.9, 0.75)
+#: Passes end where no packing can be smaller by more than this share.
+CLOSE = 1e-4
+NEAR = 1e-9
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
@@ -130,89 +134,70 @@ def best_fit(counts: dict[int, int], capacity: int, begun: list[tuple[dict[int,
     return [x for group in open_.values() for x in group]
 
 
-def program(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> dict[tuple[tuple[int, int], ...], float]:
-    """Configurations (lengths with how many of each) and how often to use them, in fractions, never above the counts.
+Used = dict[tuple[tuple[int, int], ...], float]
 
-    Prices start at each length's share of the capacity, the dual of filling sequences without loss, and rise by
-    multiplicative weights with the share of a length that is not yet covered. A round prices once and takes several
-    columns: for each of the least covered lengths the best configuration that holds it, by half of what its scarcest
-    length still asks for (all of it, where that is less than one).
+
+def covered(counts: dict[int, int], price: dict[int, float], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Used:
+    """One pass: configurations (lengths with how many of each) and how often to use them, in fractions, never above the counts.
+
+    price: of each length, such that no configuration is worth more than 1. Columns worth less are taken as rounds go by.
     """
     left, used = {k: float(v) for k, v in counts.items()}, {}
-    for _ in range(rounds):
-        lengths = np.array(sorted(k for k, v in left.items() if v > 0.5))
+    for r in range(rounds):
+        lengths = np.array(sorted(k for k, v in left.items() if v > NEAR))
         if not len(lengths):
             break
         share = np.array([left[k] / counts[k] for k in lengths.tolist()])
-        prices = Prices((lengths / capacity) ** BENT * np.exp(RATE * (share - share.max())), lengths, capacity)
+        own = np.array([price[k] for k in lengths.tolist()])
+        prices = Prices(own * np.exp(WITHIN * (share - share.max())), lengths, capacity)
+        least = 1 - ((r + 1) / rounds) ** 3
         for first in lengths[np.lexsort((-lengths, -share))][:COLUMNS].tolist():
-            config = {k: min(a, counts[k]) for k, a in prices.config(first).items()}
+            if left[first] <= NEAR:
+                continue
+            config = {k: min(a, max(1, int(left[k] + NEAR))) for k, a in prices.config(first).items()}
             step = min(left[k] / a for k, a in config.items())
-            step = step / 2 if step >= 2 else step
-            if step <= 0 or sum(k * a for k, a in config.items()) < FULL * capacity:
+            if step <= NEAR or sum(price[k] * a for k, a in config.items()) < least - NEAR:
                 continue
+            if 2 * r < rounds:
+                step = step / 2 if step >= HALVED else math.ceil(step / 2) if step >= 1 else step
             key = tuple(sorted(config.items(), reverse=True))
             used[key] = used.get(key, 0.0) + step
             for k, a in config.items():
-                left[k] = max(0.0, left[k] - step * a)
+                left[k] -= step * a
     return used
 
 
-def covering(counts: dict[int, int], capacity: int = CAPACITY, enough: int = 0, pivots: int = PIVOTS) -> tuple[dict[tuple[tuple[int, int], ...], float], int]:
-    """The program over all configurations, by simplex steps on priced columns: (how often to use each, a number of
-    sequences that no packing goes below). It is solved for the lengths of most tokens first, then goes on from there
-    with more. Ends when the bound reaches enough, at the optimum, or after so many steps.
-    """
-    every = np.array(sorted(counts, key=lambda k: (-k * counts[k], k)))
-    asked, at = np.array([float(counts[k]) for k in every.tolist()]), {k: i for i, k in enumerate(every.tolist())}
-    fits = capacity // every
-    columns = [((k, n),) for k, n in zip(every.tolist(), fits.tolist())]
-    inverse, often, price, bound = np.diag(1 / fits), asked / fits, 1 / fits, 0
-    for m in sorted({min(m, len(every)) for m in (*STEPS, len(every))}):
-        rows = np.argsort(every[:m])
-        lengths = every[rows]
-        while pivots > 0 and bound < enough:
-            prices = Prices(price[rows], lengths, capacity)
-            most = prices.best[capacity]
-            bound = max(bound, math.ceil(np.maximum(price[:m], 0) @ asked[:m] / most - 1e-6))  # leaving lengths out raises no bound
-            value = price[rows] + prices.best[capacity - lengths]
-            order, before, seen = np.argsort(-value, kind="stable"), pivots, set()
-            for first in order[value[order] > 1 + NEAR].tolist():
-                config = prices.config(int(lengths[first]))
-                within = {k: min(a, counts[k]) for k, a in config.items()}  # no more than there are, if that is worth a step too
-                for key in (tuple(sorted(x.items(), reverse=True)) for x in (within, config)):
-                    column = np.zeros(m)
-                    for k, a in key:
-                        column[at[k]] = a
-                    gain = price[:m] @ column - 1
-                    if key in seen or gain <= NEAR:
-                        continue
-                    seen.add(key)
-                    step = inverse[:m, :m] @ column
-                    ratio = np.full(m, np.inf)
-                    np.divide(often[:m], step, out=ratio, where=step > NEAR)
-                    row = int(np.argmin(ratio))
-                    pivot = inverse[row, :m] / step[row]
-                    changed = np.flatnonzero(step)
-                    inverse[changed, :m] -= np.outer(step[changed], pivot)
-                    inverse[row, :m] = pivot
-                    often[:m] = np.maximum(often[:m] - ratio[row] * step, 0)
-                    often[row], columns[row] = ratio[row], key
-                    price[:m] -= gain * pivot
-                    pivots -= 1
-                    break
-                if len(seen) >= COLUMNS or pivots <= 0:
-                    break
-            if pivots == before:
-                break
-    return {key: n for key, n in zip(columns, often.tolist()) if n > NEAR}, bound
+def program(counts: dict[int, int], capacity: int = CAPACITY, passes: int = PASSES, rounds: int = ROUNDS) -> Iterator[tuple[Used, dict[int, float], int]]:
+    """The solution of each pass, its prices, and the best bound on the number of sequences so far."""
+    lengths = np.array(sorted(counts))
+    asked = np.array([float(counts[k]) for k in lengths.tolist()])
+    price, bound, at = lengths / capacity, 0, {k: i for i, k in enumerate(lengths.tolist())}
+    for n in range(passes):
+        price = price / Prices(price, lengths, capacity).best[capacity]
+        bound = max(bound, math.ceil(float(price @ asked) - 1e-6))
+        named = dict(zip(lengths.tolist(), price.tolist()))
+        used = covered(counts, named, capacity, rounds)
+        yield used, named, bound
+        loss = np.zeros(len(lengths))
+        for config, often in used.items():
+            short = 1 - worth(config, named)
+            for k, a in config:
+                loss[at[k]] += often * a * short
+        price = price * np.exp(RATE / (n + 1) * loss / asked)
+
+
+def worth(config: tuple[tuple[int, int], ...], price: dict[int, float]) -> float:
+    return sum(price[k] * a for k, a in config)
 
 
-def rounded(counts: dict[int, int], used: dict[tuple[tuple[int, int], ...], float], near: float = 0.5) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
-    """A program's solution in whole sequences as the counts allow, and what it leaves; near 0 rounds down, 0.5 to the nearest."""
-    left, done = dict(counts), []
+def rounded(counts: dict[int, int], used: Used, share: float = 1.0) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """A program's solution (or that share of it) in whole sequences as the counts allow, and what it leaves. The most used columns
+    come first; what rounding down leaves of one goes on to the next."""
+    left, done, due = dict(counts), [], 0.0
     for config, often in sorted(used.items(), key=lambda x: -x[1]):
-        n = min(int(often + near + 1e-6), *(left[k] // a for k, a in config))
+        due += often * share
+        n = min(int(due + 1e-6), *(left[k] // a for k, a in config))
+        due = min(due - n, 1.0)
         if n:
             done.append((dict(config), n))
             for k, a in config:
@@ -220,24 +205,40 @@ def rounded(counts: dict[int, int], used: dict[tuple[tuple[int, int], ...], floa
     return done, {k: v for k, v in left.items() if v}
 
 
-def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Covers the counts exactly: (lengths, how many sequences). The best of plain best fit and the programs' solutions, rounded as the counts allow, with the rest by best fit."""
+@dataclass
+class Packing:
+    """configs cover the counts exactly: (lengths, how many sequences). bound: no packing has fewer. placed: pieces that the
+    program placed, those that nothing goes beside included."""
+
+    configs: list[tuple[dict[int, int], int]]
+    bound: int
+    placed: int
+
+    @property
+    def size(self) -> int:
+        return sum(n for _, n in self.configs)
+
+
+def solved(counts: dict[int, int], capacity: int = CAPACITY, passes: int = PASSES, rounds: int = ROUNDS) -> Packing:
     left = {k: v for k, v in counts.items() if v}
     alone = [({k: 1}, left.pop(k)) for k in [k for k in left if capacity - k < min(left)]]  # nothing goes beside these
+    single = sum(n for _, n in alone)
     if not left:
-        return alone
-    size = lambda configs: sum(n for _, n in configs)
-    full, rest = rounded(left, program(left, capacity, rounds))
-    best = min(full + best_fit(rest, capacity), best_fit(left, capacity), key=size)
-    if size(best) * capacity - sum(k * v for k, v in left.items()) < capacity:  # as few as the tokens fill
-        return alone + best
-    for held, some in ((full, rest), ([], left))[not full :]:
-        used, _ = covering(some, capacity, size(best) - size(held)) if some else ({}, 0)
-        mixed = {config: often for config, often in used.items() if len(config) > 1}
-        for columns, near in ((used, 0.0), (used, 0.5), (mixed, 0.0), (mixed, 0.5)):
-            begun, last = rounded(some, columns, near)
-            best = min(best, held + best_fit(last, capacity, begun), key=size)
-    return alone + best
+        return Packing(alone, single, single)
+    best = Packing(alone + best_fit(left, capacity), 0, single)
+    for used, price, bound in program(left, capacity, passes, rounds):
+        best.bound = single + bound
+        for least, share in product(WORTHS, SHARES):
+            begun, rest = rounded(left, {c: x for c, x in used.items() if worth(c, price) >= least}, share)
+            tried = Packing(alone + best_fit(rest, capacity, begun), single + bound, single + sum(left.values()) - sum(rest.values()))
+            best = min(best, tried, key=lambda p: (p.size, -p.placed))
+        if best.size <= best.bound * (1 + CLOSE):
+            break
+    return best
+
+
+def configurations(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    return solved(counts, capacity).configs
 
 
 def places(configs: list[tuple[dict[int, int], int]]) -> np.ndarray:
