@@ -1,14 +1,17 @@
 """Mixing sources to target weights by a low-discrepancy source schedule. DataFrame operations only.
 
-A source's documents, shuffled by the MD5 of their ids and laid end to end, are its stream of words, read twice at
-most and cut into blocks of equal size. Slot k of the schedule takes the point frac(k * golden ratio) through the
-cumulative block counts of the sources; a slot's rank among its source's slots names the block it takes. Slots beyond a
-source's need fall out, and the few blocks that the points miss follow at the end, so every source gives its target to
-the word. Ranks and word positions are prefix sums in levels (groups of chunks of slots, groups of buckets of ids), so no source, however
-large, is sorted or counted in one task.
+The mix is a schedule of ``SLOTS`` slots, whatever the size of the corpus (more where there are very many sources), each for one
+block of equally many words. Slot k takes the point frac(k * golden ratio) through the cumulative target weights of the sources
+to its source, and its rank among that source's slots names the block it takes: a source's documents, shuffled by the MD5 of
+their ids and texts and laid end to end, are its stream of words, read twice at most and cut into blocks. So a source gives
+as many blocks as the points deal it, in the order of their slots; its words come within a few blocks of its target
+(the discrepancy of the points: below one block for most sources, three in the worst case tested), a block being a 131,072th of the mix.
+Word positions are prefix sums in levels (groups of buckets of shuffled documents), so no source, however large, is sorted or
+counted in one task.
 
 Sizes are words; null text has none. Sources come by code point, null last, and an empty source name is a source. Rows
-without words are never taken; equal rows are taken each for itself. An empty table gives no rows.
+without words are never taken; equal rows are taken each for itself, and as they are alike in all that decides, any
+partitioning of the table gives the same rows. Very long documents span blocks. An empty table gives no rows.
 Only doc_id, text and source are read; further columns pass through ``mixed_documents`` alone.
 """
 
@@ -19,17 +22,17 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, staged
+from .common import BROADCAST_ROWS, WORD, broadcast_if_small, staged
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-BLOCK = 1024
 GOLDEN = (math.sqrt(5) - 1) / 2
-#: Slots are ranked in chunks of so many; a source's documents are placed in so many buckets by three hex digits.
-CHUNK = 512
+#: Slots of the mix, about, and at least so many for each source.
+SLOTS, EACH = 1 << 17, 64
+#: A source's documents are placed in so many buckets by three hex digits.
 BUCKET_DIGITS = 3
-#: Prefix sums over chunks and buckets go by groups of so many.
+#: Prefix sums over buckets go by groups of so many.
 GROUP = 64
 #: Points find their source through so many cells.
 CELLS = 4096
@@ -46,7 +49,7 @@ def sized(docs: DataFrame, *keep: str) -> DataFrame:
             F.col("source").alias("source"),
             F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source"))).alias("key"),
             F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("shuffle"),
+            F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).cast("binary")).alias("shuffle"),
             *(F.col(c).alias(f"kept_{c}") for c in keep),
         ),
         "sizes",
@@ -85,101 +88,120 @@ def running(df: DataFrame, index: str, value: str) -> DataFrame:
     return out.withColumn("before", F.col("lower") + F.col("within")).drop("group", "within", "lower")
 
 
-def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
-    """key, rank, slot: which block of which source fills each slot. sources: key, target."""
-    need = sources.select("key", F.ceil(F.floor(F.col("target") + 0.5) / block).cast("long").alias("need"))
-    upto = F.sum("need").over(Window.orderBy("key"))
-    spans = need.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("need")).filter("need > 0")
-    n = need.agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0]
-    cell = lambda at: F.floor(at * F.lit(float(CELLS)) / F.lit(float(max(n, 1)))).cast("int")
+def block_of(words: int, sources: int, slots: int = SLOTS) -> tuple[int, int]:
+    """(words of a block, number of slots) of a mix of so many words."""
+    block = max(1, -(-words // max(slots, EACH * sources)))
+    return block, (2 * words + block) // (2 * block)
+
+
+def needs(sources: DataFrame) -> DataFrame:
+    """key, lo, hi: where the targets, rounded to words and laid end to end, begin and end."""
+    need = sources.select("key", F.floor(F.col("target") + 0.5).cast("long").alias("need")).filter("need > 0")
+    return need.select("key", F.sum("need").over(Window.orderBy("key")).alias("hi"), "need").select("key", (F.col("hi") - F.col("need")).alias("lo"), "hi")
+
+
+def schedule(sources: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, int, int]:
+    """(key, rank, slot: which block of which source fills each slot; the words of a block; the number of slots)."""
+    spans = staged(needs(sources), "needs")
+    words, many = spans.agg(F.coalesce(F.max("hi"), F.lit(0)), F.count("*")).first()
+    block, n = block_of(words, many, slots)
+    cell = lambda at: F.floor(at * F.lit(float(CELLS)) / F.lit(float(max(words, 1)))).cast("int")
     cells = spans.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))))
     point = F.col("slot") * F.lit(GOLDEN)
-    slots = sources.sparkSession.range(n).withColumnRenamed("id", "slot")
-    slots = slots.withColumn("at", F.least(F.floor((point - F.floor(point)) * n).cast("long"), F.lit(n - 1)))
-    slots = slots.withColumn("cell", cell(F.col("at")))
-    dealt = slots.join(cells, "cell").filter("at >= lo and at < hi").select("key", "need", "slot", F.floor(F.col("slot") / CHUNK).alias("chunk"))
-    chunks = running(dealt.groupBy("key", "chunk").agg(F.count("*").alias("n")), "chunk", "n").drop("n")
-    within = F.row_number().over(Window.partitionBy("key", "chunk").orderBy("slot"))
-    ranked = dealt.withColumn("within", within).join(chunks, ["key", "chunk"]).withColumn("rank", F.col("before") + F.col("within") - 1)
-    filled = ranked.filter("rank < need").select("key", "rank", "slot")
-    got = need.join(dealt.groupBy("key").agg(F.count("*").alias("got")), "key", "left").withColumn("got", F.coalesce("got", F.lit(0)))
-    missed = got.filter("got < need").select("key", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("rank"))
-    return filled.unionByName(missed.withColumn("slot", F.lit(n).cast("long")))
+    dealt = sources.sparkSession.range(n).withColumnRenamed("id", "slot")
+    dealt = dealt.withColumn("at", F.least(F.floor((point - F.floor(point)) * F.lit(float(words))).cast("long"), F.lit(words - 1)))
+    dealt = dealt.withColumn("cell", cell(F.col("at"))).join(F.broadcast(cells) if many <= SMALL else cells, "cell").filter("at >= lo and at < hi")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("slot")) - 1  # a source's slots: SLOTS in all
+    return staged(dealt.select("key", rank.cast("long").alias("rank"), "slot"), "schedule", rows=n), block, n
 
 
 def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """sizes with source_size, target and the place of each row's first word in its source's stream."""
     cut = sizes.drop("source").withColumn("bucket", F.conv(F.substring("shuffle", 1, BUCKET_DIGITS), 16, 10).cast("int"))
     sums = running(cut.groupBy("key", "bucket").agg(F.sum("size").alias("n")), "bucket", "n").drop("n")
-    within = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("shuffle", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("shuffle", "row").rowsBetween(Window.unboundedPreceding, 0))
     out = cut.withColumn("within", within - F.col("size")).join(sums, ["key", "bucket"]).withColumn("first", F.col("before") + F.col("within"))
     few = len(sources.limit(SMALL + 1).select("key").collect()) <= SMALL
-    return out.join(F.broadcast(sources) if few else sources, "key").drop("before", "within", "bucket", "shuffle")
+    return out.join(F.broadcast(sources) if few else sources, "key").drop("before", "within", "bucket")
 
 
-def mix(rows: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
+def mix(rows: DataFrame, sources: DataFrame, slots: int = SLOTS) -> DataFrame:
     """slot, key, rank, row, epoch, first, words: which words of which row fill each slot, from ``placed`` rows."""
-    need = F.floor(F.col("target") + 0.5).cast("long")
-    start = F.col("first") + F.col("epoch") * F.col("source_size")
-    twice = rows.withColumn("epoch", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("from", start)
-    twice = twice.withColumn("to", F.least(F.col("from") + F.col("size"), need)).filter(F.col("from") < F.col("to"))
+    plan, block, n = schedule(sources, slots)
+    twice = rows.withColumn("epoch", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("from", F.col("first") + F.col("epoch") * F.col("source_size"))
+    twice = twice.withColumn("to", F.col("from") + F.col("size")).filter("size > 0")
     ranks = F.sequence(F.floor(F.col("from") / block).cast("long"), F.floor((F.col("to") - 1) / block).cast("long"))
     parts = twice.select("row", "key", "epoch", "from", "to", F.explode(ranks).alias("rank"))
     begin, end = F.greatest("from", F.col("rank") * block), F.least("to", (F.col("rank") + 1) * block)
     parts = parts.select("row", "key", "epoch", "rank", (begin - F.col("from")).alias("first"), (end - begin).alias("words"))
-    return parts.join(schedule(sources, block), ["key", "rank"])
+    return parts.join(F.broadcast(plan) if n <= BROADCAST_ROWS else plan, ["key", "rank"])
 
 
 def taken_of(sizes: DataFrame) -> DataFrame:
-    """row, doc_id, size, source_size, target, taken of every row of ``sized``."""
+    """row, doc_id, size, source_size, target, taken, slot (the first that takes the row; -1: none), again (the first of
+    its second time) and shuffle of every row of ``sized``."""
     slim = sizes.select("row", "doc_id", "source", "key", "size", "shuffle")
     sources = staged(targets(slim), "sources")
     rows = staged(placed(slim, sources), "places", rows=slim.count())
-    words = mix(rows, sources).groupBy("row").agg(F.sum("words").alias("taken"))
-    return rows.join(words, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    at = [F.coalesce(F.min(F.when(F.col("epoch") == k, F.col("slot"))), F.lit(-1)).alias(name) for k, name in enumerate(("slot", "again"))]
+    words = mix(rows, sources).groupBy("row").agg(F.sum("words").alias("taken"), *at)
+    kept = [F.coalesce(c, F.lit(d)).cast("long").alias(c) for c, d in (("taken", 0), ("slot", -1), ("again", -1))]
+    return rows.join(words, "row", "left").select("row", "doc_id", "size", "source_size", "target", *kept, "shuffle")
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """row, doc_id, size, source_size, target, taken of every row."""
-    return taken_of(sized(docs))
+    """row, doc_id, size, source_size, target, taken, slot of every row."""
+    return taken_of(sized(docs)).drop("again", "shuffle")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as whole rows of docs: each as often as its taken words make up its size, rounded."""
+    """The mix as whole rows of docs, in the order of their slots: each as often as its taken words make up its size, rounded."""
     sizes = sized(docs, *docs.columns)
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    chosen = taken_of(sizes).filter("size > 0").select("row", copies.alias("copies")).filter("copies > 0")
+    chosen = taken_of(sizes).filter("size > 0").select("row", copies.alias("copies"), "slot", "again").filter("copies > 0")
     chosen = staged(chosen, "copies", rows=sizes.select("row").count())
-    rows = sizes.join(broadcast_if_small(chosen), "row")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
+    rows = sizes.join(broadcast_if_small(chosen), "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    at = F.when((F.col("copy") == 2) & (F.col("again") >= 0), F.col("again")).otherwise(F.col("slot"))
+    return rows.withColumn("at", at).orderBy("at", "shuffle", "copy").select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
 
 
-#: The same for DuckDB: the mix takes the first target words of the stream.
-SQL = """
+#: The same for DuckDB: the schedule slot by slot, and the blocks that its slots take of each source's stream.
+SQL = f"""
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS shuffle
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS shuffle, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS key
   FROM documents),
 ranked AS (
-  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS n
-  FROM sizes GROUP BY source),
+  SELECT key, source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS n
+  FROM sizes GROUP BY key, source),
 weighed AS (
-  SELECT source, source_size, source_size::DOUBLE * 2 AS cap, CASE n % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+  SELECT key, source, source_size, source_size::DOUBLE * 2 AS cap, CASE n % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
   FROM ranked),
 levels AS (
   SELECT *, cap / weight AS ratio,
          ((SELECT sum(source_size) FROM weighed)::DOUBLE * 1.5 - coalesce(sum(cap) OVER w, 0))
          / ((SELECT sum(weight) FROM weighed) - coalesce(sum(weight) OVER w, 0)) AS level
-  FROM weighed WINDOW w AS (ORDER BY cap / weight, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  FROM weighed WINDOW w AS (ORDER BY cap / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT source, source_size, least(cap, coalesce((SELECT max(level) FROM levels WHERE level <= ratio) * weight, cap)) AS target
+  SELECT key, source_size, least(cap, coalesce((SELECT max(level) FROM levels WHERE level <= ratio) * weight, cap)) AS target
   FROM levels),
-places AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS need,
-         (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.shuffle, s.doc_id ROWS UNBOUNDED PRECEDING))::BIGINT - s.size AS f
-  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+spans AS (
+  SELECT key, need, (sum(need) OVER (ORDER BY key))::BIGINT AS hi FROM (SELECT key, floor(target + 0.5)::BIGINT AS need FROM targets) WHERE need > 0),
+plan AS (
+  SELECT words, block, (2 * words + block) // (2 * block) AS n
+  FROM (SELECT max(hi) AS words, greatest({SLOTS}, {EACH} * count(*)) AS m, greatest(1, (max(hi) + m - 1) // m)::BIGINT AS block FROM spans)),
+slots AS (
+  SELECT k AS slot, block, least(floor((k * '{GOLDEN!r}'::DOUBLE - floor(k * '{GOLDEN!r}'::DOUBLE)) * words::DOUBLE)::BIGINT, words - 1) AS p
+  FROM plan, range((SELECT n FROM plan)) t(k)),
+dealt AS (
+  SELECT key, slot, block, row_number() OVER (PARTITION BY key ORDER BY slot) - 1 AS rank FROM slots JOIN spans ON p >= hi - need AND p < hi),
+streams AS (
+  SELECT s.doc_id, s.key, s.size, t.source_size, t.target,
+         (sum(s.size) OVER (PARTITION BY s.key ORDER BY s.shuffle ROWS UNBOUNDED PRECEDING))::BIGINT - s.size AS f,
+         coalesce((SELECT count(*) * any_value(block) FROM dealt d WHERE d.key = s.key), 0)::BIGINT AS reach
+  FROM sizes s JOIN targets t ON s.key = t.key)
 SELECT doc_id, size, source_size, target,
-       (greatest(0, least(f + size, need) - f) + greatest(0, least(f + source_size + size, need) - f - source_size))::BIGINT AS taken
-FROM places
+       (greatest(0, least(f + size, reach) - f) + greatest(0, least(f + source_size + size, reach) - f - source_size))::BIGINT AS taken,
+       coalesce(CASE WHEN size > 0 THEN d.slot END, -1)::BIGINT AS slot
+FROM streams LEFT JOIN dealt d ON d.key = streams.key AND d.rank = f // (SELECT block FROM plan)
 """
