@@ -6,28 +6,32 @@ psi holds (key columns, unit, psi), non-zeros only; n_total is the number of uni
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cohortlake.functions.stats import chi2_tail, z_quantile
 
 
-
-def std_errors(psi: DataFrame, keys: list[str], n_total: Column) -> DataFrame:
-    """sqrt(sum psi^2) / n for each key (not centred)."""
-    return psi.groupBy(*keys).agg((F.sqrt(F.sum(F.col("psi") ** 2))).alias("root")).withColumn("std_error", F.col("root") / n_total).drop("root")
-
-
 def covariance(psi: DataFrame, key: str, n_total: int) -> DataFrame:
     """a, b, value: the entries of psi' psi / n."""
     left, right = psi.select("unit", F.col(key).alias("a"), F.col("psi").alias("pa")), psi.select("unit", F.col(key).alias("b"), F.col("psi").alias("pb"))
     return left.join(right, "unit").groupBy("a", "b").agg((F.sum(F.col("pa") * F.col("pb")) / n_total).alias("value"))
 
 
-def sign(unit: Column, draw: Column, seed: int) -> Column:
-    """A fair sign for each unit and draw, the same in any engine that has MD5."""
-    digest = F.md5(F.concat_ws("|", unit.cast("string"), draw.cast("string"), F.lit(str(seed))).cast("binary"))
-    return F.when(F.substring(digest, 1, 1).isin(*"13579bdf"), 1).otherwise(-1)
+#: Draws that one digest gives signs for.
+BITS = 128
+
+
+def digests(unit: Column, draws: int, seed: int) -> Column:
+    """The digests that hold a unit's signs, 128 draws each: the MD5 of unit, block and seed, the same in any engine that has it.
+
+    The sign of draw b (from 1) is bit (b - 1) % 128, from the highest, of block (b - 1) // 128: 1 is plus.
+    """
+    blocks = F.sequence(F.lit(0), F.lit(-(-max(1, draws) // BITS) - 1))
+    return F.transform(blocks, lambda k: F.unhex(F.md5(F.concat_ws("|", unit.cast("string"), k.cast("string"), F.lit(str(seed))).cast("binary"))))
 
 
 def clustered(psi: DataFrame, keys: list[str], clusters: DataFrame) -> tuple[DataFrame, int]:
@@ -37,21 +41,44 @@ def clustered(psi: DataFrame, keys: list[str], clusters: DataFrame) -> tuple[Dat
     return sums.select(*keys, F.col("cluster").alias("unit"), (F.col("psi") / F.col("size")).alias("psi")), sizes.count()
 
 
+#: Units whose signs are laid out at once.
+SLICE = 2048
+
+
 def bootstrap(psi: DataFrame, key: str, draws: int, seed: int, n: int) -> DataFrame:
     """draw, key, value: sqrt(n) times the mean of psi under random signs.
 
-    A unit's psi are gathered first, so its sign is drawn once for a draw; partial sums leave a row for each task and draw.
+    A unit's psi are gathered first, so its digests are made once; signs times psi is a matrix product for some units at a time, and
+    each task leaves one row for a key, which holds its sums over all draws.
     """
     if draws < 0:
         raise ValueError("boot_iterations must be >= 0")
-    names = [r[0] for r in psi.select(key).distinct().orderBy(key).collect()]  # cells or aggregates: few
-    wide = psi.groupBy("unit").pivot(key, names).agg(F.sum("psi")) if names else psi.select("unit").limit(0)
-    columns = [c for c in wide.columns if c != "unit"]
-    drawn = wide.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(max(1, draws))))).withColumn("sign", sign(F.col("unit"), F.col("draw"), seed))
-    sums = drawn.groupBy("draw").agg(*(F.sum(F.col("sign") * F.coalesce(F.col(f"`{c}`"), F.lit(0.0))).alias(f"v{i}") for i, c in enumerate(columns)))
-    kind = psi.schema[key].dataType
-    entries = F.array(*(F.struct(F.lit(v).cast(kind).alias(key), (F.col(f"v{i}") / n * np.sqrt(n)).alias("value")) for i, v in enumerate(names)))
-    return sums.select("draw", F.explode(entries).alias("e")).select("draw", f"e.{key}", "e.value")
+    draws, kind = max(1, draws), psi.schema[key].dataType.simpleString()
+    types = to_arrow_schema(T.StructType([T.StructField("key", psi.schema[key].dataType), T.StructField("sums", T.ArrayType(T.DoubleType()))]))
+    units = psi.groupBy("unit").agg(F.collect_list(F.struct(F.col(key).alias("key"), "psi")).alias("own")).select("own", digests(F.col("unit"), draws, seed).alias("signs"))
+
+    def partial(batches):
+        sums: dict[object, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                own, signs = part.column(0), part.column(1)
+                raw = np.frombuffer(b"".join(signs.flatten().to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
+                signed = np.unpackbits(raw, axis=1)[:, :draws].astype(np.float64) * 2 - 1
+                flat = own.flatten()
+                keys, value = flat.field("key").to_pylist(), flat.field("psi").to_numpy(zero_copy_only=False)
+                names = list(dict.fromkeys(keys))
+                place = {k: i for i, k in enumerate(names)}
+                matrix = np.zeros((len(names), part.num_rows))
+                np.add.at(matrix, (np.array([place[k] for k in keys], dtype=np.int64), np.repeat(np.arange(part.num_rows), own.value_lengths().to_numpy())), value)
+                for k, row in zip(names, matrix @ signed):
+                    sums[k] = sums[k] + row if k in sums else row
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)).cast(types[0].type), pa.array([v.tolist() for v in sums.values()], types[1].type)], schema=types)
+
+    summed = units.mapInArrow(partial, f"key {kind}, sums array<double>")
+    each = summed.select("key", F.posexplode("sums").alias("pos", "part")).groupBy("key", "pos").agg(F.sum("part").alias("total"))
+    return each.select((F.col("pos") + 1).alias("draw"), F.col("key").alias(key), (F.col("total") / n * np.sqrt(n)).alias("value"))
 
 
 def bootstrap_errors(boot: DataFrame, key: str, n: int, alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:

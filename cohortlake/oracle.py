@@ -246,7 +246,7 @@ def bootstrap(draws: int, seed: int, clusters: bool = False, band: bool = False)
 bu AS (SELECT v, cl.c AS u, sum(psi) / any_value(m) AS psi FROM ap JOIN cl USING (e) JOIN cn USING (c) GROUP BY v, cl.c), bn AS (SELECT count(*) AS n FROM cn)""" if clusters else "bu AS (SELECT v, e AS u, psi FROM ap), bn AS (SELECT n FROM n)"
     z = 1.3489795003921634
     more = f"""{unit},
-dr AS (SELECT v, b, sum(psi * CASE WHEN contains('13579bdf', substr(md5(concat_ws('|', u, b, {seed})), 1, 1)) THEN 1 ELSE -1 END) / any_value(bn.n) * sqrt(any_value(bn.n)) AS m FROM bu, bn, range(1, {draws + 1}) t(b) GROUP BY v, b),
+dr AS (SELECT v, b, sum(psi * (2 * (('0x' || substr(md5(concat_ws('|', u, (b - 1) // 128, {seed})), 1 + (b - 1) % 128 // 4, 1))::INT // (8 >> ((b - 1) % 4)::INT) % 2) - 1)) / any_value(bn.n) * sqrt(any_value(bn.n)) AS m FROM bu, bn, range(1, {draws + 1}) t(b) GROUP BY v, b),
 sg AS (SELECT v, (quantile_disc(m, 0.75) - quantile_disc(m, 0.25)) / {z} AS sg FROM dr GROUP BY v),
 cv AS (SELECT quantile_disc(mm, 0.95) AS cv FROM (SELECT b, max(abs(m / sg)) AS mm FROM dr JOIN sg USING (v) WHERE sg > 0 GROUP BY b))"""
     columns = "v::INT AS relative_period, round(att, 4) AS att, round(sg / sqrt(n), 4) AS std_error"

@@ -123,9 +123,10 @@ def test_bootstrap_follows_its_definition(spark):
     rng = np.random.default_rng(0)
     psi = rng.normal(size=(30, 2))
     df = spark.createDataFrame([(k, f"u{i}", float(psi[i, k])) for i in range(30) for k in range(2)], "agg_id int, unit string, psi double")
-    got = {(r["draw"], r["agg_id"]): r["value"] for r in inference.bootstrap(df, "agg_id", 20, 7, 30).collect()}
-    for b in range(1, 21):
-        s = np.array([1 if hashlib.md5(f"u{i}|{b}|7".encode()).hexdigest()[0] in "13579bdf" else -1 for i in range(30)])
+    got = {(r["draw"], r["agg_id"]): r["value"] for r in inference.bootstrap(df, "agg_id", 300, 7, 30).collect()}
+    for b in range(1, 301):
+        digest = [int(hashlib.md5(f"u{i}|{(b - 1) // 128}|7".encode()).hexdigest(), 16) for i in range(30)]
+        s = np.array([1 if x >> (127 - (b - 1) % 128) & 1 else -1 for x in digest])
         for k in range(2):
             assert got[b, k] == pytest.approx(np.sqrt(30) * np.mean(s * psi[:, k]))
 
