@@ -31,6 +31,8 @@ EVERY = 50
 #: Vectors of a shard and queries of a block, about; vectors of a leaf at most.
 SHARD, BLOCK, LEAF = 4096, 512, 64
 FOUND = "query long, vec_id long, score long"
+#: Vectors travel as the first of these that holds their components.
+TYPES = (np.int16, np.int32, np.float64)
 #: Stands for this score and all beyond, its negative likewise.
 MOST = 2**63 - 1
 
@@ -64,13 +66,15 @@ class Tree:
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, nodes=self.nodes, lo=self.lo, hi=self.hi, least=self.least, vectors=self.vectors, ids=self.ids)
+        vectors = self.vectors.astype(next(t for t in TYPES if t is np.float64 or np.abs(self.vectors).max(initial=0) <= np.iinfo(t).max))
+        np.savez(out, nodes=self.nodes, lo=self.lo, hi=self.hi, least=self.least, vectors=vectors, ids=self.ids)
         return out.getvalue()
 
     @classmethod
     def of_bytes(cls, data: bytes) -> Tree:
         tree = cls.__new__(cls)
         tree.__dict__.update(np.load(io.BytesIO(data)))
+        tree.vectors = tree.vectors.astype(np.float64)
         return tree
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, worst: np.ndarray, worst_id: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -113,7 +117,7 @@ class Tree:
 
 
 def scaled(df: DataFrame, scale: int = SCALE) -> DataFrame:
-    """row, vec_id, dim and vec (the scaled components as bytes of float64) of the vectors that take part; staged."""
+    """row, vec_id, dim and vec (the scaled components, packed) of the vectors that take part; staged."""
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
     def run(batches):
@@ -126,15 +130,27 @@ def scaled(df: DataFrame, scale: int = SCALE) -> DataFrame:
                 if np.isfinite(x).all() and np.abs(x).max(initial=0) < 2**63:
                     row.append(r)
                     vec_id.append(i)
-                    vec.append(x.tobytes())
+                    vec.append(_packed(x))
                     dim.append(len(x))
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(vec_id, pa.int64()), pa.array(dim, pa.int32()), pa.array(vec, pa.binary())], names=["row", "vec_id", "dim", "vec"])
 
     return staged(rows.filter("vec_id is not null and embedding is not null").mapInArrow(run, "row long, vec_id long, dim int, vec binary"), "vectors")
 
 
-def _matrix(vectors, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors), dtype=np.float64).reshape(len(vectors), dim)
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers in 2, 4 or 8 bytes each, as they need; the length tells which."""
+    most = np.abs(x).max(initial=0)
+    return x.astype(next(t for t in TYPES if t is np.float64 or most <= np.iinfo(t).max)).tobytes()
+
+
+def _matrix(vectors: list[bytes], dim: int) -> np.ndarray:
+    out = np.empty((len(vectors), dim))
+    size = np.array([len(v) for v in vectors])
+    for t in TYPES:
+        at = np.flatnonzero(size == dim * np.dtype(t).itemsize)
+        if len(at):
+            out[at] = np.frombuffer(b"".join([vectors[k] for k in at.tolist()]), dtype=t).reshape(len(at), dim)
+    return out
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -169,7 +185,8 @@ def top_k(df: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) ->
     none = queries.withColumns(worst)
     by = ["shard", "dim", "block"]
     every_block = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    home = staged(none.groupBy(*by).cogroup(every_block.groupBy(*by)).applyInPandas(_searcher(k), FOUND), "home")
+    # a shard holds a block's worth of its own queries at most, about: its tree goes to them once
+    home = staged(none.groupBy("shard", "dim").cogroup(trees.groupBy("shard", "dim")).applyInPandas(_searcher(k), FOUND), "home")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     kth = home.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("worst"), F.col("vec_id").alias("worst_id"))
     away = queries.join(kth, "row", "left").withColumns({c: F.coalesce(c, x) for c, x in worst.items()}).withColumnRenamed("shard", "home")
