@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INTERCEPT = "Intercept"
+#: Levels of a categorical factor at most: each becomes a column of the design.
+MOST_LEVELS = 500
 
 
 def split_formula(formula: str) -> tuple[str, str]:
@@ -84,7 +86,9 @@ def design(df: DataFrame, right: str) -> Design:
     for factor in dict.fromkeys(f for t in found for f in t):
         name = (re.fullmatch(r"C\((.*)\)", factor) or [None, factor])[1].strip()
         if factor.startswith("C(") or kinds.get(name) == "string":
-            levels[factor] = sorted(r[0] for r in df.select(F.col(name)).filter(F.col(name).isNotNull()).distinct().collect())
+            levels[factor] = sorted(r[0] for r in df.select(F.col(name)).filter(F.col(name).isNotNull()).distinct().limit(MOST_LEVELS + 1).collect())
+            if len(levels[factor]) > MOST_LEVELS:
+                raise ValueError(f"{factor} has more than {MOST_LEVELS} levels")
     present = [set(t) for t in found] + ([set()] if intercept else [])
     names, columns = ([INTERCEPT], [F.lit(1.0)]) if intercept else ([], [])
     for term in found:

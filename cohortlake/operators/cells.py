@@ -100,5 +100,13 @@ def chosen(cells: DataFrame, **by: object) -> DataFrame:
     return cells
 
 
+def chosen_results(results: DataFrame, post: bool = False, pre: bool = False, influence: bool = False, **by: object) -> DataFrame:
+    """Results with an effect, of ``chosen`` cells; post, pre: after or before treatment alone; influence: of those whose influence is not all zero."""
+    out = chosen(results.filter(F.col("ATT").isNotNull() & ~F.isnan("ATT")), **by)
+    out = post_treatment(out) if post else out
+    out = post_treatment(out, False) if pre else out
+    return out.filter("std_error is not null") if influence else out  # a zero error is null
+
+
 def post_treatment(cells: DataFrame, post: bool = True) -> DataFrame:
     return cells.filter(F.col("time") >= F.col("cohort") if post else F.col("time") < F.col("cohort"))

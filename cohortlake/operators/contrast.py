@@ -37,7 +37,7 @@ class Contrast:
 def sides(samples: list[str], strata: list, difference: object) -> list[tuple[Side, Side, bool, bool]]:
     """(first, second, whether samples differ, whether strata differ) for what the caller asks.
 
-    True: the two samples if there are two, else the two strata. A list of two names: samples if they are samples, else strata.
+    True: the two samples, or the two strata; where both are two, the caller must say which. A list of two names: samples if they are samples, else strata.
     A dict with "samples" (or "sample_names") and / or "strata": the two of each; with both, (s0, t0) - (s1, t1).
     """
     named: dict[str, list] = {}
@@ -50,6 +50,8 @@ def sides(samples: list[str], strata: list, difference: object) -> list[tuple[Si
     elif isinstance(difference, (list, tuple)):
         named["samples" if all(x in samples for x in difference) else "strata"] = list(difference)
     elif difference is True:
+        if len(samples) == 2 and len(strata) == 2:
+            raise ValueError('difference=True: two samples and two strata; name them, as in {"samples": [...]} or {"strata": [...]}')
         if len(samples) == 2:
             named["samples"] = samples
         elif len(strata) == 2:

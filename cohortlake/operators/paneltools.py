@@ -71,12 +71,28 @@ def fully_observed(df: DataFrame, entity: str, time: str) -> DataFrame:
     return df.join(keep, entity, "left_semi")
 
 
-def cohort_table(events: DataFrame, entity: str, value: str, most: int | None = None) -> DataFrame:
-    """A row for each entity, its events' values (times or intensities) in columns 1, 2, ... by time."""
+#: Events of one entity at most: each becomes a column.
+MOST_EVENTS = 1000
+
+
+def cohort_table(events: DataFrame, entity: str, value: str, most: int | None = None, panel: DataFrame | None = None, time: str | None = None, gaps: bool = True) -> DataFrame:
+    """A row for each entity, its events' values (times or intensities) in columns 1, 2, ... by time.
+
+    panel: a row for each of its (entity, time) of entities with events instead; gaps: for missing times between them, too.
+    """
     number = F.row_number().over(Window.partitionBy(entity).orderBy("cohort"))
     numbered = events.withColumn("_n", number)
     most = most or numbered.agg(F.max("_n")).first()[0] or 0
-    return numbered.groupBy(entity).pivot("_n", list(range(1, most + 1))).agg(F.first(value))
+    if most > MOST_EVENTS:
+        raise ValueError(f"an entity has {most} events: more than {MOST_EVENTS}")
+    wide = numbered.groupBy(entity).pivot("_n", list(range(1, most + 1))).agg(F.first(value))
+    if panel is None:
+        return wide
+    seen = panel.select(entity, time)
+    if gaps:
+        spans = seen.groupBy(entity).agg(F.min(time).alias("_a"), F.max(time).alias("_b"))
+        seen = spans.select(entity, F.explode(F.sequence("_a", "_b")).alias(time)).withColumn(time, F.col(time).cast(dict(panel.dtypes)[time]))
+    return seen.join(wide, entity)
 
 
 def relative_periods(panel: DataFrame, events: DataFrame, entity: str, time: str, intensity: str | None = None) -> DataFrame:

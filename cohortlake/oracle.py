@@ -240,15 +240,110 @@ FROM att x JOIN att z ON x.cg = z.cg AND x.base = z.base AND x.tt = z.tt AND x.i
     return panel(key="a.s", out=out)
 
 
+def _draws(draws: int, seed: int) -> str:
+    """The sign of draw b is bit (b - 1) % 128 of the MD5 of unit, (b - 1) // 128 and seed."""
+    bit = f"('0x' || substr(md5(concat_ws('|', u, (b - 1) // 128, {seed})), 1 + (b - 1) % 128 // 4, 1))::INT // (8 >> ((b - 1) % 4)::INT) % 2"
+    return f"dr AS (SELECT v, b, sum(psi * (2 * ({bit}) - 1)) / any_value(bn.n) * sqrt(any_value(bn.n)) AS m FROM bu, bn, range(1, {draws + 1}) t(b) GROUP BY v, b)"
+
+
 def bootstrap(draws: int, seed: int, clusters: bool = False, band: bool = False) -> str:
     """Event effects under random signs. clusters: mean influence of each nation's suppliers."""
     unit = """cl AS (SELECT s_suppkey AS e, s_nationkey AS c FROM supplier WHERE s_suppkey IN (SELECT e FROM p)), cn AS (SELECT c, count(*) AS m FROM cl GROUP BY c),
 bu AS (SELECT v, cl.c AS u, sum(psi) / any_value(m) AS psi FROM ap JOIN cl USING (e) JOIN cn USING (c) GROUP BY v, cl.c), bn AS (SELECT count(*) AS n FROM cn)""" if clusters else "bu AS (SELECT v, e AS u, psi FROM ap), bn AS (SELECT n FROM n)"
     z = 1.3489795003921634
     more = f"""{unit},
-dr AS (SELECT v, b, sum(psi * (2 * (('0x' || substr(md5(concat_ws('|', u, (b - 1) // 128, {seed})), 1 + (b - 1) % 128 // 4, 1))::INT // (8 >> ((b - 1) % 4)::INT) % 2) - 1)) / any_value(bn.n) * sqrt(any_value(bn.n)) AS m FROM bu, bn, range(1, {draws + 1}) t(b) GROUP BY v, b),
+{_draws(draws, seed)},
 sg AS (SELECT v, (quantile_disc(m, 0.75) - quantile_disc(m, 0.25)) / {z} AS sg FROM dr GROUP BY v),
 cv AS (SELECT quantile_disc(mm, 0.95) AS cv FROM (SELECT b, max(abs(m / sg)) AS mm FROM dr JOIN sg USING (v) WHERE sg > 0 GROUP BY b))"""
     columns = "v::INT AS relative_period, round(att, 4) AS att, round(sg / sqrt(n), 4) AS std_error"
     columns += ", round(att - cv * sg / sqrt(n), 4) AS lower, round(att + cv * sg / sqrt(n), 4) AS upper" if band else ""
     return panel(more=(_units("1", "true"), _agg("event", False), more), out=f"SELECT {columns} FROM aa JOIN sg USING (v), cv, bn").replace("FROM aa JOIN sg USING (v), cv, bn", "FROM aa JOIN sg USING (v) CROSS JOIN cv CROSS JOIN bn")
+
+
+def wald() -> str:
+    """n a' V^-1 a over the cells before treatment, by elimination column by column, and the chi-square tail by its series."""
+    more = """pre AS (SELECT row_number() OVER (ORDER BY cg, tt) AS i, cg, base, tt, att FROM att WHERE tt < cg),
+ps AS (SELECT pre.i, e, psi FROM psi JOIN pre USING (cg, base, tt)),
+sys(k, m) AS MATERIALIZED (SELECT 0, list(row ORDER BY i) FROM (
+    SELECT pre.i, list_append((SELECT list(v ORDER BY j) FROM (SELECT b.i AS j, sum(a.psi * b.psi) / (SELECT any_value(n) FROM n) AS v FROM ps a JOIN ps b ON a.e = b.e WHERE a.i = pre.i GROUP BY b.i)), pre.att) AS row FROM pre)),
+el AS (SELECT * FROM (WITH RECURSIVE r(k, m) AS (
+    SELECT k, m FROM sys UNION ALL
+    SELECT k + 1, [CASE WHEN i = k + 1 THEN [x / m[k + 1][k + 1] for x in m[i]]
+                   ELSE [m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] for j in range(1, len(m) + 2)] END for i in range(1, len(m) + 1)]
+    FROM r WHERE k < len(m)) SELECT m FROM r ORDER BY k DESC LIMIT 1)),
+w AS (SELECT (SELECT any_value(n) FROM n) * sum(att * m[i][len(m) + 1]) AS w, count(*) AS q FROM pre, el)"""
+    tail = "1 - (SELECT sum(exp((q / 2.0 + t.k) * ln(w / 2) - w / 2 - lgamma(q / 2.0 + t.k + 1))) FROM range(0, 2000) t(k))"
+    return panel(more=(more,), out=f"SELECT round(w, 4) AS wald_stat, q::INT AS df, round({tail}, 4) AS p_value FROM w")
+
+
+def bands() -> str:
+    z = 1.959963984540054
+    out = f"""SELECT cohort, base_period, time, att, std_error, lower, upper, CASE WHEN lo * hi > 0 THEN '*' ELSE '' END AS zero_not_in_cband, n_sample, n_total FROM (
+SELECT cg AS cohort, base AS base_period, tt AS time, round(att, 4) AS att, round(se, 4) AS std_error, att - {z} * se AS lo, att + {z} * se AS hi, round(att - {z} * se, 4) AS lower, round(att + {z} * se, 4) AS upper,
+       (SELECT count(*) FROM r WHERE r.cg = att.cg AND r.base = att.base AND r.tt = att.tt) AS n_sample, (SELECT any_value(n) FROM n) AS n_total
+FROM att JOIN se USING (i, cg, base, tt))"""
+    return panel(out=out)
+
+
+def weighted_aggregate() -> str:
+    """Shares of cohorts are sums of weights; cells are weighted too (the covariate has two values)."""
+    units = "un AS (SELECT 1 AS i, e, any_value(g) AS g, any_value(w) AS w FROM p GROUP BY e), share AS (SELECT i, g AS cg, sum(w) / any_value(n.n) AS sh FROM un JOIN n USING (i) WHERE g IS NOT NULL GROUP BY i, g)"
+    sql = panel(saturated=True, weighted=True, more=(units, _agg("event", False)), out="SELECT v::INT AS relative_period, round(att, 4) AS att, round(se, 4) AS std_error FROM aa JOIN ae USING (i, v)")
+    return sql.replace("SELECT z2.i, z2.v, un.e, ld FROM z2", "SELECT z2.i, z2.v, un.e, un.w * ld FROM z2")
+
+
+def difference_rescaled() -> str:
+    """The error of a difference of independent samples."""
+    out = """SELECT x.v::INT AS relative_period, round(x.att - z.att, 4) AS att, round(sqrt(a.se * a.se + b.se * b.se), 4) AS std_error
+FROM aa x JOIN aa z ON x.v = z.v AND x.i = 0 AND z.i = 1 JOIN ae a ON a.v = x.v AND a.i = 0 JOIN ae b ON b.v = x.v AND b.i = 1"""
+    return panel(key="a.s", more=(_units("a.s", "true"), _agg("event", False)), out=out)
+
+
+def difference_clusters(draws: int, seed: int) -> str:
+    """Two strata: a supplier's influence on one less that on the other, as means of nations, under random signs."""
+    z = 1.3489795003921634
+    more = f"""cl AS (SELECT s_suppkey AS e, s_nationkey AS c FROM supplier WHERE s_suppkey IN (SELECT e FROM p)), cn AS (SELECT c, count(*) AS m FROM cl GROUP BY c),
+df AS (SELECT v, e, sum(CASE i WHEN 0 THEN psi ELSE -psi END) AS psi FROM ap WHERE v IN (SELECT v FROM ap WHERE i = 0) AND v IN (SELECT v FROM ap WHERE i = 1) GROUP BY v, e),
+bu AS (SELECT v, cl.c AS u, sum(psi) / any_value(m) AS psi FROM df JOIN cl USING (e) JOIN cn USING (c) GROUP BY v, cl.c), bn AS (SELECT count(*) AS n FROM cn),
+{_draws(draws, seed)},
+sg AS (SELECT v, (quantile_disc(m, 0.75) - quantile_disc(m, 0.25)) / {z} AS sg FROM dr GROUP BY v)"""
+    out = "SELECT x.v::INT AS relative_period, round(x.att - z.att, 4) AS att, round(sg / sqrt(n), 4) AS std_error FROM aa x JOIN aa z ON x.v = z.v AND x.i = 0 AND z.i = 1 JOIN sg ON sg.v = x.v CROSS JOIN bn"
+    return by_strata("event", out=out, more=(more,))
+
+
+def continuous(newton: int = 30) -> str:
+    """Normalised inverse-probability weights with a continuous covariate: the logit by Newton steps, two normal equations each."""
+    return build(
+        F1, PLAIN, cells(), panel_rows().replace("b.x ELSE a.x END", "b.q ELSE a.q END").replace("CASE WHEN tt < base THEN b.w ELSE a.w END AS w", "1.0::DOUBLE AS w"),
+        f"""gm AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE g(k, cg, base, tt, a, b) AS (
+    SELECT 0, cg, base, tt, 0.0::DOUBLE, 0.0::DOUBLE FROM r GROUP BY cg, base, tt UNION ALL
+    SELECT k + 1, cg, base, tt, a + (s0 * hxx - s1 * hx) / (h * hxx - hx * hx), b + (s1 * h - s0 * hx) / (h * hxx - hx * hx)
+    FROM (SELECT k, cg, base, tt, any_value(a) AS a, any_value(b) AS b, sum(d - p) AS s0, sum((d - p) * x) AS s1, sum(p * (1 - p)) AS h, sum(p * (1 - p) * x) AS hx, sum(p * (1 - p) * x * x) AS hxx
+          FROM (SELECT g.*, r.d, r.x, 1 / (1 + exp(-(g.a + g.b * r.x))) AS p FROM g JOIN r USING (cg, base, tt)) GROUP BY k, cg, base, tt) WHERE k < {newton})
+  SELECT cg, base, tt, a, b FROM g WHERE k = {newton})),
+h AS (SELECT r.*, exp(gm.a + gm.b * x) AS odds, 1 / (1 + exp(-(gm.a + gm.b * x))) AS p FROM r JOIN gm USING (cg, base, tt)),
+m AS (SELECT cg, base, tt, sum(d) AS w1, sum(d * y) / sum(d) AS e1, sum((1 - d) * odds) AS w0, sum((1 - d) * odds * y) / sum((1 - d) * odds) AS e0,
+             sum(p * (1 - p)) AS i0, sum(p * (1 - p) * x) AS ix, sum(p * (1 - p) * x * x) AS ixx FROM h GROUP BY ALL),
+c AS (SELECT cg, base, tt, sum((1 - d) * odds * (y - e0)) AS c0, sum((1 - d) * odds * (y - e0) * x) AS c1 FROM h JOIN m USING (cg, base, tt) GROUP BY ALL),
+psi AS (SELECT cg, base, tt, e1 - e0 AS att, d * (y - e1) / w1 - ((1 - d) * odds * (y - e0) + (d - p) * ((ixx * c0 - ix * c1) + x * (i0 * c1 - ix * c0)) / (i0 * ixx - ix * ix)) / w0 AS psi
+        FROM h JOIN m USING (cg, base, tt) JOIN c USING (cg, base, tt))""",
+        out="SELECT cg AS cohort, base AS base_period, tt AS time, round(any_value(att), 4) AS att, round(sqrt(sum(psi * psi)), 4) AS std_error FROM psi GROUP BY cg, base, tt",
+    )
+
+
+def uniform(seed: int, *key: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {seed}, {', '.join(key)})), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
+
+
+def normal(seed: int, *key: str) -> str:
+    return f"sqrt(-2 * ln(1 - {uniform(seed, *key)})) * cos(2 * {3.141592653589793} * {uniform(seed + 7919, *key)})"
+
+
+def simulated(n: int = 200) -> str:
+    """The generator's panel by its defaults: three cohorts of 1902, 1904 and 1906 by thirds of four in five entities, intensities 0.5, 5.25 and 10."""
+    return f"""WITH en AS (SELECT id, {uniform(1, 'id')} AS u, {normal(2, 'id')} AS level FROM range({n}) t(id)),
+co AS (SELECT *, CASE WHEN u < 0.8::DOUBLE / 3 THEN 1902 WHEN u < 1.6::DOUBLE / 3 THEN 1904 WHEN u < 0.8 THEN 1906 END::INT AS cohort FROM en),
+ro AS (SELECT *, (1900 + k)::INT AS time, CASE cohort WHEN 1902 THEN 0.5 WHEN 1904 THEN 5.25 WHEN 1906 THEN 10 END::DOUBLE AS intensity, {normal(100, 'id', '1900 + k')} AS x0 FROM co, range(8) t(k)),
+ef AS (SELECT *, CASE WHEN time > cohort THEN 10 * intensity * (time - cohort) / 10.0 ELSE 0 END::DOUBLE AS effect FROM ro)
+SELECT 'e' || id AS entity, time, coalesce(cohort, 0) AS cohort, coalesce(round(intensity, 6), 0) AS intensity, round(effect, 6) AS effect, round(x0, 6) AS x0,
+       round(level + 0.1 * (time - 1900) + effect + 10 * {normal(6, 'id', 'time')} + x0, 6) AS y, round(0.5 + {uniform(8, 'id')}, 6) AS weights FROM ef"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,14 @@ def _limit(n: int) -> None:
         raise ValueError(f"{n} cells or more: choose some with filter_cells, or coarser times, strata or samples")
 
 
+def _release(*held: list[DataFrame]) -> None:
+    for some in held:
+        while some:
+            df = some.pop()
+            if df.sparkSession.getActiveSession() is not None:
+                df.unpersist()
+
+
 class ATTgt:
     """data: a DataFrame whose rows are keyed by entity_name and time_name (its first two columns, if not named)."""
 
@@ -57,7 +66,8 @@ class ATTgt:
         self.is_panel, self.is_balanced_panel = self.panel.is_panel, self.panel.is_balanced
         self._fitted, self._stratum = False, None
         self._kept: list[DataFrame] = []
-        self._results: dict[tuple, DataFrame] = {}
+        self._results: dict[tuple, weakref.ref[DataFrame]] = {}
+        weakref.finalize(self, _release, [self._data], self._kept).atexit = False
 
     # -- planning ---------------------------------------------------------------------------------------------------
 
@@ -242,9 +252,12 @@ class ATTgt:
         return out
 
     def _drop_kept(self) -> None:
-        for df in self._kept:
-            df.unpersist()
-        self._kept = []
+        _release(self._kept)
+
+    def _owned(self, out: DataFrame) -> DataFrame:
+        """A result keeps its model, and the model what it persisted: once both are gone, that is given back."""
+        out._model = self
+        return out
 
     def close(self) -> None:
         """Gives back what the model holds in memory."""
@@ -299,11 +312,12 @@ class ATTgt:
     def _clusters(self, sample: str | None = None) -> DataFrame | None:
         return self._units.select("unit", "cluster") if self._cluster else None
 
-    def results(self, type_of_aggregation: str | None = None, overall: bool = False, difference: object = False, to_dataframe: bool = True, add_info: bool = False) -> DataFrame:
-        """The effects of the cells (or, with a type, an aggregate): a DataFrame, or with to_dataframe=False its rows."""
+    def results(self, type_of_aggregation: str | None = None, overall: bool = False, difference: object = False, to_dataframe: bool = True, add_info: bool = False, only: dict | None = None) -> DataFrame:
+        """The effects of the cells (or, with a type, an aggregate): a DataFrame, or with to_dataframe=False its rows. only: see ``cells.chosen_results``."""
         self._need_fit()
         if type_of_aggregation is not None:
             out = self.aggregate(type_of_aggregation, overall, difference)
+            out = planning.chosen_results(out, **only) if only is not None else out
             return out if to_dataframe else out.collect()
         spark = self.panel.df.sparkSession
         kind = self._units.schema["s"].dataType.simpleString()
@@ -315,9 +329,10 @@ class ATTgt:
         out = self._inferred(table, psi, "row_id", n, self._alpha, self._boot, self._seed, self._clusters()).drop("row_id")
         if not self.strata_name:
             out = out.drop("stratum")
+        out = planning.chosen_results(out, **only) if only is not None else out
         if add_info:
             out = out.withColumn("post", F.when(F.col("cohort") < F.col("time"), "post").otherwise("pre"))
-        out = self._dated(out)
+        out = self._owned(self._dated(out))
         return out if to_dataframe else out.collect()
 
     def aggregate(
@@ -341,8 +356,8 @@ class ATTgt:
         if type_of_aggregation is None and not difference:
             return self.results()
         key = (type_of_aggregation, overall, repr(difference), alpha, repr(cluster_var), boot_iterations, random_state, rescale)
-        if key in self._results:
-            return self._results[key]
+        if (known := self._results.get(key, lambda: None)()) is not None:
+            return known
         if type_of_aggregation is not None and type_of_aggregation not in agg.TYPES and not difference:
             return self.results()
         if type_of_aggregation is None:
@@ -372,8 +387,8 @@ class ATTgt:
             out = out.withColumnRenamed("value", field) if field else out.drop("value")
         if not self.strata_name or (difference and "stratum" in out.columns and len(self._strata()) < 2):
             out = out.drop("stratum")
-        out = self._dated(out)
-        self._results[key] = out
+        out = self._owned(self._dated(out))
+        self._results[key] = weakref.ref(out)
         return out
 
     def wald_pre_test(self, sample: str | None = None, stratum: object = None) -> dict[str, float]:

@@ -83,8 +83,14 @@ def _ruled(df: DataFrame) -> DataFrame:
     return df.withColumns({"t": F.col(rules.T), "g": F.col(rules.G)})
 
 
+def _of(result: DataFrame, out: DataFrame) -> DataFrame:
+    """out, which keeps the model of the result it is made of."""
+    out._model = getattr(result, "_model", None)
+    return out
+
+
 def _effects(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, F.round("ATT", 4).alias("att"), F.round("std_error", 4).alias("std_error"))
+    return _of(df, df.select(*keys, F.round("ATT", 4).alias("att"), F.round("std_error", 4).alias("std_error")))
 
 
 CELL = ("cohort", "base_period", "time")
@@ -181,6 +187,8 @@ _panel_query("attgt_dr_mle", sql.panel(saturated=True), "y ~ x", est_method="dr"
 _panel_query("attgt_dr_ipt", sql.panel(saturated=True), "y ~ x", est_method="dr-ipt")
 _panel_query("attgt_std_ipw", sql.panel(saturated=True), "y ~ C(x)", est_method="std_ipw")
 _panel_query("attgt_ipw", sql.panel(saturated=True), "y ~ x", est_method="ipw")
+_panel_query("attgt_continuous", sql.continuous(), "y ~ q", est_method="std_ipw")
+_panel_query("attgt_name_unit", sql.regression(), "y ~ unit", source=lambda s, d: suppliers(s, d).withColumnsRenamed({"q": "unit", "s": "t"}), est_method="reg")
 _panel_query("attgt_weighted", sql.panel(saturated=True, weighted=True), "y ~ x", est_method="dr", weights_name="w")
 _panel_query("attgt_delta", sql.delta(), "y ~ q", est_method="reg", base_delta="delta")
 for _m, _n in (("reg", "reg"), ("dr", "dr"), ("dr-ipt", "dr_ipt"), ("std_ipw", "std_ipw"), ("ipw", "ipw")):
@@ -195,7 +203,7 @@ def _aggregate_query(name: str, oracle: str | None, kind: str | None, keys: tupl
     @query(name, oracle)
     def run(spark: SparkSession, d: str) -> DataFrame:
         model = ATTgt(suppliers(spark, d), "g", strata_name="s" if strata else None, entity_name="e", time_name="year")
-        model.fit("y", **{"est_method": "reg", **(fit or {})})
+        model.fit(**{"formula": "y", "est_method": "reg", **(fit or {})})
         return _effects(model.aggregate(kind, overall, **how), *keys)
 
 
@@ -216,6 +224,8 @@ def split_event(spark: SparkSession, d: str) -> DataFrame:
 
 _aggregate_query("strata_event", sql.by_strata("event"), "event", ("stratum", "relative_period"), strata=True)
 _aggregate_query("diff_samples", sql.difference_samples("event"), "event", ("relative_period",), fit={"split_sample_by": "s"}, difference=["s = 0", "s = 1"])
+_aggregate_query("agg_weighted", sql.weighted_aggregate(), "event", ("relative_period",), fit={"weights_name": "w", "est_method": "dr", "formula": "y ~ x"})
+_aggregate_query("diff_rescaled", sql.difference_rescaled(), "event", ("relative_period",), fit={"split_sample_by": "s"}, difference=["s = 0", "s = 1"], rescale=True)
 _aggregate_query("diff_strata", sql.difference_strata("event"), "event", ("relative_period",), strata=True, difference={"strata": [0, 1]})
 _aggregate_query("diff_cells", sql.difference_cells(), None, CELL, fit={"split_sample_by": "s"}, difference=True)
 
@@ -238,7 +248,7 @@ def boot_band(spark: SparkSession, d: str) -> DataFrame:
     model = ATTgt(suppliers(spark, d), "g", entity_name="e", time_name="year")
     model.fit("y", est_method="reg")
     found = model.aggregate("event", boot_iterations=DRAWS, random_state=SEED)
-    return found.select("relative_period", *(F.round(c, 4).alias(n) for c, n in (("ATT", "att"), ("std_error", "std_error"), ("lower", "lower"), ("upper", "upper"))))
+    return _of(found, found.select("relative_period", *(F.round(c, 4).alias(n) for c, n in (("ATT", "att"), ("std_error", "std_error"), ("lower", "lower"), ("upper", "upper")))))
 
 
 @query("boot_cluster", sql.bootstrap(DRAWS, SEED, clusters=True))
@@ -249,6 +259,28 @@ def boot_cluster(spark: SparkSession, d: str) -> DataFrame:
     return _effects(model.aggregate("event", boot_iterations=DRAWS, random_state=SEED), "relative_period")
 
 
+@query("diff_cluster", sql.difference_clusters(DRAWS, SEED))
+def diff_cluster(spark: SparkSession, d: str) -> DataFrame:
+    nations = table(spark, d, "supplier").select(F.col("s_suppkey").alias("e"), F.col("s_nationkey").alias("nation"))
+    model = ATTgt(suppliers(spark, d).join(nations, "e"), "g", strata_name="s", entity_name="e", time_name="year")
+    model.fit("y", est_method="reg", cluster_var="nation")
+    return _effects(model.aggregate("event", difference=[0, 1], boot_iterations=DRAWS, random_state=SEED), "relative_period")
+
+
+@query("attgt_bands", sql.bands())
+def attgt_bands(spark: SparkSession, d: str) -> DataFrame:
+    found = ATTgt(suppliers(spark, d), "g", entity_name="e", time_name="year").fit("y", est_method="reg")
+    numbers = [F.round(c, 4).alias(n) for c, n in (("ATT", "att"), ("std_error", "std_error"), ("lower", "lower"), ("upper", "upper"))]
+    return _of(found, found.select(*CELL, *numbers, "zero_not_in_cband", "n_sample", "n_total"))
+
+
+@query("results_filtered", sql.panel(out=f"{sql.OUT} WHERE tt < cg AND cg IN (1997, 1999) AND tt - cg >= -3"))
+def results_filtered(spark: SparkSession, d: str) -> DataFrame:
+    model = ATTgt(suppliers(spark, d), "g", entity_name="e", time_name="year")
+    model.fit("y", est_method="reg")
+    return _effects(model.results(only={"pre": True, "influence": True, "cohort": [1997, 1999], "relative_period": (-3, None)}), *CELL)
+
+
 @query("influence_covariance", sql.panel(out="SELECT a.cg AS cohort_a, a.tt AS time_a, b.cg AS cohort_b, b.tt AS time_b, round(sum(a.psi * b.psi) / (SELECT n FROM n), 2) AS value FROM psi a JOIN psi b ON a.e = b.e WHERE a.tt < a.cg AND b.tt < b.cg GROUP BY ALL"))
 def influence_covariance(spark: SparkSession, d: str) -> DataFrame:
     from .operators.inference import covariance
@@ -262,12 +294,12 @@ def influence_covariance(spark: SparkSession, d: str) -> DataFrame:
     return found.join(F.broadcast(first), "a").join(F.broadcast(second), "b").select("cohort_a", "time_a", "cohort_b", "time_b", F.round("value", 2).alias("value"))
 
 
-@query("wald_stat")
+@query("wald_stat", sql.wald())
 def wald_stat(spark: SparkSession, d: str) -> DataFrame:
     model = ATTgt(suppliers(spark, d), "g", entity_name="e", time_name="year")
     model.fit("y", est_method="reg")
     w = model.wald_pre_test()
-    return spark.createDataFrame([(w["wald_stat"], w["df"], w["p_value"])], "wald_stat double, df int, p_value double")
+    return spark.createDataFrame([(round(w["wald_stat"], 4), w["df"], round(w["p_value"], 4))], "wald_stat double, df int, p_value double")
 
 
 # -- panel tools
@@ -290,6 +322,12 @@ def balanced_windows(spark: SparkSession, d: str) -> DataFrame:
     return tools.entities_per_window(customers(spark, d), "e", "year", 3)
 
 
+@query("best_windows", f"{_SEEN}, w AS (SELECT a::INT AS start, (a + k - 1)::INT AS \"end\", k, (SELECT count(*) FROM (SELECT e FROM p0 WHERE t BETWEEN a AND a + k - 1 GROUP BY e HAVING count(DISTINCT t) >= k)) AS n FROM range(1990, 2000) s(a), (SELECT 3 AS k) WHERE a >= (SELECT min(t) FROM p0) AND a + k - 1 <= (SELECT max(t) FROM p0)) SELECT start, \"end\", n FROM w WHERE n = (SELECT max(n) FROM w)")
+def best_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The windows of three years that most customers are seen in throughout."""
+    return tools.balanced_windows(customers(spark, d), "e", "year", 3, grow=False)
+
+
 @query("fully_observed", f"{_SEEN} SELECT e, t AS year FROM p0 WHERE e IN (SELECT e FROM p0 GROUP BY e HAVING count(*) = (SELECT max(n) FROM (SELECT count(*) AS n FROM p0 GROUP BY e)))")
 def fully_observed(spark: SparkSession, d: str) -> DataFrame:
     return tools.fully_observed(customers(spark, d), "e", "year").select("e", "year")
@@ -311,6 +349,12 @@ def pivot_events(spark: SparkSession, d: str) -> DataFrame:
     return tools.cohort_table(_two_events(suppliers(spark, d)), "e", "cohort", 2).fillna(0)
 
 
+@query("pivot_events_panel", f"{_EVENTS}, wide AS (SELECT e, min(cohort)::INT AS \"1\", (CASE WHEN count(*) > 1 THEN max(cohort) ELSE 0 END)::INT AS \"2\" FROM ev GROUP BY e) SELECT e, u::INT AS year, \"1\", \"2\" FROM (SELECT e, unnest(range(min(t), max(t) + 1)) AS u FROM p0 GROUP BY e) JOIN wide USING (e)")
+def pivot_events_panel(spark: SparkSession, d: str) -> DataFrame:
+    df = suppliers(spark, d)
+    return tools.cohort_table(_two_events(df), "e", "cohort", 2, df, "year").fillna(0, ["2"]).select("e", F.col("year").cast("int"), "1", "2")
+
+
 @query("relative_dummies", f"{_EVENTS} SELECT e, p0.t AS year, {_DUMMIES} FROM p0 JOIN ev USING (e) GROUP BY e, p0.t")
 def relative_dummies(spark: SparkSession, d: str) -> DataFrame:
     df = suppliers(spark, d)
@@ -342,9 +386,10 @@ def stream_weekly_means(spark: SparkSession, d: str) -> DataFrame:
     return found.select("user_id", F.date_format("time", "yyyy-MM-dd").alias("week"), "n", F.round("y", 6).alias("y"))
 
 
-@query("simulate_panel")
+@query("simulate_panel", sql.simulated())
 def simulate_panel(spark: SparkSession, d: str) -> DataFrame:
-    return simulate_data(spark, nentity=200)
+    rounded = [F.round(c, 6).alias(c) for c in ("effect", "x0", "y", "weights")]
+    return simulate_data(spark, nentity=200).select("entity", "time", F.coalesce("cohort", F.lit(0)).alias("cohort"), F.coalesce(F.round("intensity", 6), F.lit(0.0)).alias("intensity"), *rounded)
 
 
 @query("custom_estimator", sql.panel(out="SELECT cg AS cohort, base AS base_period, tt AS time, round(att, 4) AS att, round(se, 4) AS std_error FROM att JOIN se USING (i, cg, base, tt)"))
