@@ -205,6 +205,36 @@ def test_results_and_caching(data):
         model.fit("y", filter_cells={"cohort": [1]}) and model.aggregate("nonsense", difference=True)
 
 
+def test_two_samples_and_two_strata_must_be_named(spark):
+    df = simulate_data(spark, nentity=200, intensity_by=2, seed=2).withColumn("part", F.length("entity") % 2)
+    model = ATTgt(df, "cohort", strata_name="strata")
+    model.fit("y", est_method="reg", split_sample_by="part")
+    with pytest.raises(ValueError, match="name them"):
+        model.aggregate("event", difference=True)
+
+
+def test_results_only(data):
+    model = ATTgt(data, "cohort")
+    every = model.fit("y", est_method="reg").collect()
+    some = model.results(only={"pre": True, "influence": True, "time": (1903, None)}).collect()
+    assert some and {(r["cohort"], r["time"]) for r in some} == {(r["cohort"], r["time"]) for r in every if r["ATT"] is not None and 1903 <= r["time"] < r["cohort"] and r["std_error"]}
+
+
+def test_results_give_back_what_their_model_kept(data, spark):
+    import gc
+
+    gc.collect()
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    model = ATTgt(data.withColumn("y", F.col("y") + 1), "cohort")
+    out = model.fit("y", est_method="dr")
+    assert out.count() and len(spark.sparkContext._jsc.getPersistentRDDs()) > before
+    del model
+    assert out.count()
+    del out
+    gc.collect()
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) <= before
+
+
 def test_only_some_cells(data):
     model = ATTgt(data, "cohort")
     got = model.fit("y", est_method="reg", filter_cells={"time": (1902, 1903)}).collect()

@@ -11,13 +11,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlake.functions.calendar import calendar
+from cohortlake.functions.calendar import calendar, calendar_of
 from cohortlake.functions.formula import INTERCEPT, design, split_formula, terms
 from cohortlake.functions.stats import chi2_tail, z_quantile
 from cohortlake.operators import inference, paneltools
 from cohortlake.operators import panel as rules
 from cohortlake.sources import loaders
-from cohortlake.sources.simulate import simulate_data
+from cohortlake.sources.simulate import effect_path, simulate_data
 from cohortlake.streaming.moments import windowed_means
 
 from .conftest import TOP
@@ -49,6 +49,22 @@ def test_design(spark):
     assert design(df, "a:c").names == [INTERCEPT, "a:c[u]", "a:c[v]", "a:c[w]"]
 
 
+def test_too_many_levels_are_refused(spark):
+    with pytest.raises(ValueError, match="levels"):
+        design(spark.range(600).select(F.col("id").cast("string").alias("c")), "c")
+
+
+def test_calendar_numbers_and_dates(spark):
+    """Numbers and dates are each other's inverse on the calendar's steps; other times have no number."""
+    for freq, step, n in (("D", "1 day", 40), ("W-MON", "7 days", 9), ("MS", "1 month", 14), ("H", "1 hour", 60), ("QS", "3 months", 6)):
+        times = spark.sql(f"select explode(sequence(timestamp'2020-01-01', timestamp'2020-01-01' + interval {step} * {n}, interval {step})) as t") if "month" not in step else spark.sql(f"select explode(sequence(timestamp'2020-01-01', timestamp'2023-01-01', interval {step})) as t")
+        steps = calendar_of(times, "t", freq)
+        rows = times.select("t", steps.number(F.col("t")).alias("n"), steps.date(steps.number(F.col("t"))).alias("d"), steps.number(F.col("t") + F.expr("interval 7 minutes")).alias("no")).orderBy("t").collect()
+        assert [r["n"] for r in rows] == list(range(1000, 1000 + len(rows))) and all(r["d"] == r["t"] and r["no"] is None for r in rows)
+    work = spark.sql("select timestamp'2024-01-05' as t union all select timestamp'2024-01-08' union all select timestamp'2024-01-06'")  # a Friday, the Monday and the Saturday
+    assert [r[0] for r in work.orderBy("t").select(calendar_of(work, "t", "B").number(F.col("t"))).collect()] == [1000, None, 1001]
+
+
 def test_calendar(spark):
     df = spark.sql("select timestamp'2020-01-31' as t union all select timestamp'2020-04-30'")
     assert [r["number"] for r in calendar(df, "t", "M").orderBy("number").collect()] == [1000, 1001, 1002, 1003]
@@ -146,7 +162,31 @@ def test_simulation(spark):
     assert {"strata", "samples", "const"} <= set(wide.columns) and wide.schema["time"].dataType.simpleString() == "timestamp"
     assert wide.filter("x0 is null").count() > 0 and wide.select("samples").distinct().count() == 3
     with pytest.raises(ValueError):
-        simulate_data(spark, cohort_shares=[0.5, 0.2, 0.2])
+        simulate_data(spark, cohort_shares=[0.5, 0.4, 0.2])
+    with pytest.raises(ValueError):
+        simulate_data(spark, intensity_by="other")
+    some = simulate_data(spark, nentity=400, cohort_shares=[0.5, 0.2], share_treated=1.0).select("entity", "cohort").distinct().groupBy("cohort").count().collect()
+    assert len(some) == 2 and max(r["count"] for r in some) < 260  # as many cohorts as shares, and the last takes what is left
+    assert "intensity" not in simulate_data(spark, intensity_by=None).columns
+    several = simulate_data(spark, nentity=300, intensity_by=(2, 3, "cohort"), random_func=None).filter("cohort is not null")
+    groups = several.select("strata", "strata1", "cohort", F.round("intensity", 6).alias("i")).distinct()
+    assert groups.count() == 18 == groups.select("i").distinct().count() and groups.agg(F.min("i"), F.max("i")).first() == (0.5, 10.0)
+    assert simulate_data(spark, nentity=30, positive_effect=False).filter("effect <> 0").count() == 0
+
+
+def test_effect_path(spark):
+    """Against the definition, written out for numbers."""
+
+    def plain(k, tau, alpha, bound):
+        if k <= 0 or not tau:
+            return float(k > 0)
+        ramp = min(k / tau, 1) if bound else k / tau
+        return ramp - (min((k - tau) / tau, 1) / alpha if alpha and k > tau else 0)
+
+    df = spark.range(-4, 12).select(F.col("id").cast("double").alias("k"))
+    for tau, alpha, bound in ((1, 0, True), (4, 0, True), (4, 0, False), (3, 2, True), (3, 2, False), (0, 0, True), (0, 3, False)):
+        for k, got in df.select("k", effect_path(F.col("k"), tau, alpha, True, bound)).collect():
+            assert got == pytest.approx(plain(k, tau, alpha, bound)), (k, tau, alpha, bound)
 
 
 def test_loaders(spark, tmp_path):
@@ -158,11 +198,14 @@ def test_loaders(spark, tmp_path):
     assert [(r["time"], r["cohort"]) for r in rows] == [(2000, 2000), (1999, None)]
     (tmp_path / "rc.csv").write_text("id,period,G,Y\n1,1,0,2.5\n2,2,2,1.5\n")
     assert [r["G"] for r in loaders.rc_multi_period(spark, f"{tmp_path}/rc.csv")["data"].orderBy("id").collect()] == [None, 2]
-    (tmp_path / "p.csv").write_text("I,T,y\n1,2000-01-01,1\n1,2001-01-01,2\n2,2000-01-01,1\n")
-    (tmp_path / "e.csv").write_text("I,cohort,event_size\n1,2001-01-01,3.5\n3,2001-01-01,1.5\n4,2001-01-01,9\n")
-    merged = loaders.simulated_data(spark, f"{tmp_path}/p.csv", f"{tmp_path}/e.csv")["data"]
-    assert merged.count() == 3 and [r["qevent_size"] for r in merged.orderBy("I", "T").collect()] == [1, 1, None]
-    assert loaders.simulated_data(spark, f"{tmp_path}/p.csv", f"{tmp_path}/e.csv", separate=True)["cohort_data"].count() == 3
+    (tmp_path / "p.csv").write_text(
+        "I,T,y,cohort,event_size\n1,2000-01-01,1,2001-01-01,3.5\n1,2001-01-01,2,2001-01-01,3.5\n2,2000-01-01,1,,\n3,2000-01-01,1,2002-01-01,1.5\n4,2000-01-01,1,2003-01-01,9\n"
+    )
+    merged = loaders.simulated_data(spark, f"{tmp_path}/p.csv")["data"]
+    assert [r["qevent_size"] for r in merged.orderBy("I", "T").collect()] == [1, 1, None, 0, 2]
+    apart = loaders.simulated_data(spark, f"{tmp_path}/p.csv", separate=True)
+    assert apart["cohort_data"].count() == 4 and not {"cohort", "event_size"} & set(apart["data"].columns)
+    assert apart["cohort_data"].columns == ["I", "cohort", "event_size", "qevent_size"]
 
 
 def test_streamed_means_equal_batch(spark, tmp_path):
