@@ -18,7 +18,7 @@ Repeated rows are each returned. Null doc_ids are ignored where a class's least
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import comb, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -124,25 +124,43 @@ def grouped_bits(n: int, gram: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def within(q: np.ndarray, most: int) -> np.ndarray:
-    """The probability that at most 0, 1, ... most of independent bits differ, from the chance of each."""
-    dist = np.zeros(most + 2)
-    dist[0] = 1
-    for x in q:
-        dist[1:] = dist[1:] * (1 - x) + dist[:-1] * x
-        dist[0] *= 1 - x
-    return np.cumsum(dist[: most + 1])
+def within(n: int, gram: np.ndarray, part: list[int], most: int) -> np.ndarray:
+    """The probability that two fingerprints differ in at most 0, 1, ... most bits of the part.
+
+    The mean and variance of that number follow from how often each two bits are set together; a beta-binomial distribution
+    has both. Without more spread than independent bits have, it is theirs.
+    """
+    share = gram[np.ix_(part, part)] / max(n, 1)  # both set
+    p = np.diag(share)
+    one, none = p[:, None] - share, 1 - p[:, None] - p[None, :] + share  # the first alone, neither
+    both = 2 * (share * none + one * one.T)  # two fingerprints differ in both bits
+    q = 2 * p * (1 - p)
+    np.fill_diagonal(both, q)
+    size, mean = len(part), float(q.sum())
+    rate, spread = mean / size, float(both.sum()) - mean * mean
+    excess = (spread / max(size * rate * (1 - rate), 1e-12) - 1) / max(size - 1, 1)
+    if excess <= 1e-6 or not 0 < rate < 1:
+        dist = np.zeros(most + 2)
+        dist[0] = 1
+        for x in q:
+            dist[1:] = dist[1:] * (1 - x) + dist[:-1] * x
+            dist[0] *= 1 - x
+        return np.cumsum(dist[: most + 1])
+    excess = min(excess, 0.999)
+    a, b = rate * (1 - excess) / excess, (1 - rate) * (1 - excess) / excess
+    term = [lgamma(size + 1) - lgamma(k + 1) - lgamma(size - k + 1) + lgamma(k + a) + lgamma(size - k + b) - lgamma(size + a + b) - lgamma(a) - lgamma(b) + lgamma(a + b) for k in range(min(most, size) + 1)]
+    out = np.cumsum(np.exp(term))
+    return np.minimum(np.append(out, [out[-1]] * (most + 1 - len(out))), 1.0)
 
 
 def plan(n: int, gram: np.ndarray, radius: int = RADIUS) -> list[tuple[list[int], int]]:
     """Partitions with their units, of the least estimated work over 1 to radius + 1 partitions."""
-    p = np.diag(gram) / max(n, 1)
     best: tuple[float, list[tuple[list[int], int]]] | None = None
     for m in range(1, radius + 2):
         parts = grouped_bits(n, gram, m)
         table = {0: (0.0, [])}  # units dealt so far: work, units of each partition
         for part in parts:
-            close = within(2 * p[part] * (1 - p[part]), radius)
+            close = within(n, gram, part, radius)
             work = [0.0]
             for u in range(1, radius + 2):
                 probes = 1 + sum(comb(len(part), k) for k in range(1, u)) / 2
@@ -232,10 +250,9 @@ def bucket_edges(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS, small: i
     return pairs[:, 0], pairs[:, 1]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame:
-    """a, b: edges that connect just what links connect. fps: fp, distinct."""
-    n, gram = bit_moments(fps)
-    rows = listed(fps, plan(n, gram, radius))
+def links(fps: DataFrame, radius: int = RADIUS, full: int = FULL, parts: list[tuple[list[int], int]] | None = None) -> DataFrame:
+    """a, b: edges that connect just what links connect. fps: fp, distinct. parts: a plan (bits, units), else the one of least work."""
+    rows = listed(fps, parts or plan(*bit_moments(fps), radius))
     hot = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > full)
     first = hot.limit(SMALL + 1).collect()
     if first:
@@ -272,9 +289,9 @@ def links(fps: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(found: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """row, doc_id, fp, root, component_id of every row of ``fingerprinted``."""
-    rows = found.select("row", "doc_id", "fp")
+def near_duplicates(found: DataFrame, *keep: str, radius: int = RADIUS) -> DataFrame:
+    """row, doc_id, fp, root, component_id (and the columns to keep) of every row of ``fingerprinted``."""
+    rows = found.select("row", "doc_id", "fp", *keep)
     n = rows.count()
     fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", rows=n)
     roots = components(links(fps, radius), n)
@@ -285,7 +302,7 @@ def near_duplicates(found: DataFrame, radius: int = RADIUS) -> DataFrame:
     classes = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(least.withColumn("salt", salts), ["root", "salt"]).select("fp", "root", "of_class")
     known = fps.join(classes, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("of_class", "least").alias("component_id"))
     known = staged(known, "classes", rows=n)  # so that the last join stands alone and Spark can split a fingerprint that many rows share
-    return rows.join(known, "fp").select("row", "doc_id", "fp", "root", "component_id")
+    return rows.join(known, "fp").select("row", "doc_id", "fp", "root", "component_id", *keep)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -294,10 +311,15 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: that of the least doc_id, the first of several."""
-    found = fingerprinted(docs, *docs.columns)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    kept = near_duplicates(found).groupBy("root").agg(F.min(order).alias("first")).select("first.row")
+    """docs with one row of each class: that of the least doc_id, of several that of the least hash of all its columns, so that any
+    partitioning keeps the same; of equal rows, any."""
+    content = F.xxhash64(*(F.col(c).cast("string") for c in docs.columns))
+    name = "content"
+    while name in docs.columns:
+        name += "_"
+    found = fingerprinted(docs.withColumn(name, content), *docs.columns, name)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(f"kept_{name}").alias("content"), "row")
+    kept = near_duplicates(found, f"kept_{name}").groupBy("root").agg(F.min(order).alias("first")).select("first.row")
     rows = found.select("row")
     dropped = staged(rows.join(kept, "row", "left_anti"), "dropped", rows=rows.count())
     return found.join(broadcast_if_small(dropped), "row", "left_anti").select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))

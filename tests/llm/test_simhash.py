@@ -97,6 +97,46 @@ def test_links_with_hot_buckets(spark, full):
     assert union(len(fp), [(place[e["a"]], place[e["b"]]) for e in edges]) == union(len(fp), true)
 
 
+UNEQUAL = [[(list(range(32)), 3), (list(range(32, 64)), 2)], [(list(range(20)), 1), (list(range(20, 40)), 1), (list(range(40, 64)), 3)], [(list(range(10, 64)), 4), (list(range(10)), 1)]]
+
+
+@pytest.mark.parametrize("parts", [*UNEQUAL, None])
+def test_links_of_unequal_thresholds(spark, parts):
+    """Whole classes by plans of unequal thresholds, against all pairs."""
+    fp = ball(60, 7, 5)
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    edges = simhash.links(df, full=64, parts=parts).collect()
+    place = {int(x): k for k, x in enumerate(fp.view(np.int64))}
+    true = [(i, j) for i, j in combinations(range(len(fp)), 2) if (int(fp[i]) ^ int(fp[j])).bit_count() <= 4]
+    assert true and union(len(fp), [(place[e["a"]], place[e["b"]]) for e in edges]) == union(len(fp), true)
+
+
+def test_estimates_count_joint_bits():
+    """How often two fingerprints agree on a partition of correlated bits: counted, and estimated from the bits' pair moments."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2, (3000, 8))
+    bits = np.repeat(base, 8, axis=1) ^ (rng.random((3000, 64)) < 0.05)
+    gram = (bits.T @ bits).astype(float)
+    part = simhash.grouped_bits(3000, gram, 4)[0]
+    a, b = bits[rng.integers(0, 3000, 40_000)][:, part], bits[rng.integers(0, 3000, 40_000)][:, part]
+    apart = (a != b).sum(axis=1)
+    got = simhash.within(3000, gram, part, 4)
+    p = bits.mean(axis=0)[part]
+    alone = np.prod(1 - 2 * p * (1 - p))  # as if bits were independent
+    for k in (1, 2, 3, 4):
+        want = (apart <= k).mean()
+        assert want / 3 < got[k] < want * 3 and got[k] > 50 * alone
+    free = rng.integers(0, 2, (3000, 64))
+    got = simhash.within(3000, (free.T @ free).astype(float), list(range(16)), 3)
+    assert got[3] == pytest.approx(sum(__import__("math").comb(16, k) for k in range(4)) / 2**16, rel=0.2)
+
+
+def test_ties_of_ids_do_not_depend_on_partitions(docs):
+    rows = [(1, "same words in here"), (1, "same words in here", "b"), (None, "other"), (None, "other", "c")] * 3
+    pick = lambda df: sorted(map(str, simhash.deduplicated(df).collect()))
+    assert pick(docs(rows)) == pick(docs(rows[::-1]).repartition(3)) and len(pick(docs(rows))) == 2
+
+
 def test_every_plan_finds_every_link(spark):
     """Whatever the units, a pair within the radius shares a key."""
     rng = np.random.default_rng(5)
@@ -105,9 +145,7 @@ def test_every_plan_finds_every_link(spark):
     fps = sorted({int(v.view(np.int64)) for p in pairs for v in p})
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
     bits = list(range(64))
-    for parts in ([(bits, 5)][:0], [(bits[:32], 3), (bits[32:], 2)], [(bits[:20], 1), (bits[20:40], 2), (bits[40:], 2)], [(bits[k::5], 1) for k in range(5)]):
-        if not parts:
-            continue
+    for parts in ([(bits[:32], 3), (bits[32:], 2)], [(bits[:20], 1), (bits[20:40], 2), (bits[40:], 2)], [(bits[k::5], 1) for k in range(5)]):
         keys = {}
         for r in simhash.listed(df, parts).collect():
             keys.setdefault(r["fp"], set()).add(r["key"])
