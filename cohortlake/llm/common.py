@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but these bytes.
@@ -22,6 +22,8 @@ SLICE_BYTES = 4 << 20
 FILE_ROWS = 50_000
 #: Rows of two or three numbers (some 10 MB) up to which a table is sent to every executor, so that texts stay in place.
 BROADCAST_ROWS = 250_000
+#: Prefix sums go by groups of so many.
+GROUP = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,6 +73,17 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def running(df: DataFrame, index: str, value: str) -> DataFrame:
+    """df (key, index, value) with before: the values of the key's smaller indices. Indices are summed in groups of GROUP, so
+    no window holds more than a key's groups or a group's indices."""
+    grouped = df.withColumn("group", F.floor(F.col(index) / GROUP).cast("long"))
+    sums = grouped.groupBy("key", "group").agg(F.sum(value).alias("total"))
+    sums = sums.select("key", "group", (F.sum("total").over(Window.partitionBy("key").orderBy("group")) - F.col("total")).alias("lower"))
+    within = F.sum(value).over(Window.partitionBy("key", "group").orderBy(index)) - F.col(value)
+    out = grouped.withColumn("within", within).join(sums, ["key", "group"])
+    return out.withColumn("before", F.col("lower") + F.col("within")).drop("group", "within", "lower")
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the column holds about limit bytes; one longer text makes a slice of its own."""
     array = batch.column(batch.schema.get_field_index(column))

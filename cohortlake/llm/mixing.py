@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, broadcast_if_small, staged
+from .common import BROADCAST_ROWS, WORD, broadcast_if_small, running, staged
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -32,8 +32,6 @@ GOLDEN = (math.sqrt(5) - 1) / 2
 SLOTS, EACH = 1 << 17, 64
 #: A source's documents are placed in so many buckets by three hex digits.
 BUCKET_DIGITS = 3
-#: Prefix sums over buckets go by groups of so many.
-GROUP = 64
 #: Points find their source through so many cells.
 CELLS = 4096
 #: The table of sources is broadcast up to so many rows.
@@ -77,17 +75,6 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return level.withColumn("top", top).select("key", "source", "source_size", F.least("cap", F.coalesce(F.col("top") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def running(df: DataFrame, index: str, value: str) -> DataFrame:
-    """df (key, index, value) with before: the values of the key's smaller indices. Indices are summed in groups of GROUP, so
-    no window holds more than a key's groups or a group's indices."""
-    grouped = df.withColumn("group", F.floor(F.col(index) / GROUP).cast("long"))
-    sums = grouped.groupBy("key", "group").agg(F.sum(value).alias("total"))
-    sums = sums.select("key", "group", (F.sum("total").over(Window.partitionBy("key").orderBy("group")) - F.col("total")).alias("lower"))
-    within = F.sum(value).over(Window.partitionBy("key", "group").orderBy(index)) - F.col(value)
-    out = grouped.withColumn("within", within).join(sums, ["key", "group"])
-    return out.withColumn("before", F.col("lower") + F.col("within")).drop("group", "within", "lower")
-
-
 def block_of(words: int, sources: int, slots: int = SLOTS) -> tuple[int, int]:
     """(words of a block, number of slots) of a mix of so many words."""
     block = max(1, -(-words // max(slots, EACH * sources)))

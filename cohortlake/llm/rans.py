@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, slices, staged, texts
+from .common import as_text, broadcast_if_small, running, slices, staged, texts
 from .tokens import encoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -203,20 +203,21 @@ def write(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, file_id
 
 def read(files: DataFrame, ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 [, ids] of every document in the files."""
-    totals = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # a row for each range
-    first = dict(zip([p for p, _ in totals], np.cumsum([0, *(n for _, n in totals)]).tolist()))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select(F.lit("").alias("key"), "part", "n")  # a row for each range
+    starts = staged(running(parts, "part", "n").select("part", F.col("before").alias("first")), "starts", rows=parts.count())
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                part, before, data = (batch.column(c)[k].as_py() for c in range(3))
+                before, data = (batch.column(c)[k].as_py() for c in range(2))
                 docs, lengths, found = decode(data)
                 raw = memoryview(found.astype("<u4").tobytes())
                 ends = np.cumsum(lengths)
                 cuts = [(4 * (b - a), 4 * b) for a, b in zip(lengths.tolist(), ends.tolist())]
-                columns = [pa.array(docs, pa.int64()), pa.array(first[part] + before + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(raw[a:b]) for a, b in cuts], pa.int64())]
+                columns = [pa.array(docs, pa.int64()), pa.array(before + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(raw[a:b]) for a, b in cuts], pa.int64())]
                 if ids:
                     columns.append(pa.array([bytes(raw[a:b]) for a, b in cuts], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return files.select("part", "before", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
+    placed = files.join(broadcast_if_small(starts), "part").select((F.col("before") + F.col("first")).alias("before"), "data")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
