@@ -130,20 +130,74 @@ def _with(rows: DataFrame, params: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(params), KEY)  # a row for each cell
 
 
+#: Distinct rows (cell, d, x) up to which the score is fitted on the driver: some 10 MB.
+FEW = 100_000
+
+
+def _stepped(gamma: np.ndarray, score: np.ndarray, curve: np.ndarray) -> tuple[np.ndarray | None, bool]:
+    """The next coefficients of a Newton step (None: none), and whether it was the last."""
+    step = np.linalg.pinv(curve, rcond=1e-12) @ score
+    if not np.isfinite(step).all() or np.abs(gamma + step).max() > 1e3:
+        return None, True
+    gamma = gamma + step / max(1.0, np.abs(step).max() / 5)
+    return gamma, bool(np.abs(step).max() <= TOLERANCE * (1 + np.abs(gamma).max()))
+
+
+def _collapsed(rows: DataFrame) -> dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]] | None:
+    """(d, w, x) of the distinct (d, x) of every cell, w summed, if there are few in all: with discrete covariates there are."""
+    about = rows.groupBy(*KEY).agg(F.approx_count_distinct(F.xxhash64("d", "x")).alias("n")).agg(F.sum("n")).first()[0] or 0
+    if about > FEW:
+        return None
+    found = rows.groupBy(*KEY, "d", "x").agg(F.sum("w").alias("w")).limit(2 * FEW + 1).collect()
+    if len(found) > 2 * FEW:
+        return None
+    by: dict[tuple, list] = {}
+    for r in found:
+        by.setdefault((r["sample"], r["cell_id"]), []).append((r["d"], r["w"], r["x"]))
+    return {key: tuple(np.array(v, dtype=float) for v in zip(*part)) for key, part in by.items()}
+
+
+def _fit_cell(d: np.ndarray, w: np.ndarray, x: np.ndarray, tilt: bool) -> np.ndarray | str:
+    """The coefficients of one cell's distinct rows, or why there are none."""
+    share = (w @ d) / w.sum() if w.sum() else 0.0
+    if not 0 < share < 1:
+        return "no treated or no control rows"
+    gamma = np.linalg.pinv((x * w[:, None]).T @ x) @ (w @ x) * np.log(share / (1 - share))
+    for kind in ("logit", "tilt")[: 1 + tilt]:
+        for _ in range(STEPS):
+            index = x @ gamma
+            p, odds = 1 / (1 + np.exp(-index)), np.exp(index)
+            score, curve = (w * (d - p), w * p * (1 - p)) if kind == "logit" else (w * (d - (1 - d) * odds), w * (1 - d) * odds)
+            gamma, last = _stepped(gamma, score @ x, (x * curve[:, None]).T @ x)
+            if last:
+                break
+        if gamma is None or not last:
+            return f"{kind}: no convergence"
+    return gamma
+
+
 def propensity(rows: DataFrame, k: int, tilt: bool, errors: dict[tuple, str]) -> dict[tuple, np.ndarray]:
-    """Coefficients of every cell: the logit's maximum likelihood, or the tilting that balances x exactly."""
-    start = _moments(rows, {"t": F.col("w") * F.col("d"), "c": F.col("w") * (1 - F.col("d"))}, k)
+    """Coefficients of every cell: the logit's maximum likelihood, or the tilting that balances x exactly.
+
+    Few distinct rows are fitted on the driver; else each Newton step is one aggregate over the rows of all cells.
+    """
+    rows = rows.select(*KEY, "d", "w", "x")
+    few = _collapsed(rows)
+    if few is not None:
+        fitted = {key: _fit_cell(*part, tilt) for key, part in few.items()}
+        errors.update({key: v for key, v in fitted.items() if isinstance(v, str)})
+        return {key: v for key, v in fitted.items() if not isinstance(v, str)}
+    rows = rows.withColumn("y", F.lit(0.0))
     gamma: dict[tuple, np.ndarray] = {}
-    for key, (_, m) in start.items():
+    for key, (_, m) in _moments(rows, {"t": F.col("w") * F.col("d"), "c": F.col("w") * (1 - F.col("d"))}, k).items():
         share = m["t"].s / (m["t"].s + m["c"].s) if m["t"].s + m["c"].s else 0.0
         if not 0 < share < 1:
             errors[key] = "no treated or no control rows"
             continue
         total = Moments(*(getattr(m["t"], f) + getattr(m["c"], f) for f in ("s", "y", "x", "xy", "xx")))
         gamma[key] = np.linalg.pinv(total.xx) @ total.x * np.log(share / (1 - share))  # a constant logit, if x holds a constant
-    exact = k == 1 and all(np.isclose(m[side].x[0], m[side].s) for _, m in start.values() for side in "tc")
     for kind in ("logit", "tilt")[: 1 + tilt]:
-        todo = {} if exact else dict(gamma)
+        todo = dict(gamma)
         for _ in range(STEPS):
             if not todo:
                 break
@@ -157,13 +211,11 @@ def propensity(rows: DataFrame, k: int, tilt: bool, errors: dict[tuple, str]) ->
                 score, curve = F.col("w") * (F.col("d") - (1 - F.col("d")) * odds), F.col("w") * (1 - F.col("d")) * odds
             again = {}
             for key, (_, m) in _moments(met.select(*rows.columns, score.alias("score"), curve.alias("curve")), {"score": F.col("score"), "curve": F.col("curve")}, k).items():
-                step = np.linalg.pinv(m["curve"].xx, rcond=1e-12) @ m["score"].x
-                if not np.isfinite(step).all() or np.abs(gamma[key] + step).max() > 1e3:
+                gamma[key], last = _stepped(gamma[key], m["score"].x, m["curve"].xx)
+                if gamma[key] is None:
                     errors[key] = f"{kind}: no convergence"
                     gamma.pop(key)
-                    continue
-                gamma[key] = gamma[key] + step / max(1.0, np.abs(step).max() / 5)
-                if np.abs(step).max() > TOLERANCE * (1 + np.abs(gamma[key]).max()):
+                elif not last:
                     again[key] = gamma[key]
             todo = again
         for key in todo:

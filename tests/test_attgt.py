@@ -81,6 +81,17 @@ def test_many_covariates_sum_matrices(data, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("method", ["dr", "dr-ipt"])
+def test_discrete_covariates_are_fitted_from_their_distinct_rows(data, method, monkeypatch):
+    """On the driver from few distinct rows, or by aggregates over all rows: the same coefficients, on panels and cross-sections."""
+    for cross in (False, True):
+        pick = lambda: sorted((r["cohort"], r["time"], round(r["ATT"], 7), round(r["std_error"], 7)) for r in ATTgt(data, "cohort").fit("y ~ C(c)", est_method=method, as_repeated_cross_section=cross).collect())  # noqa: E731, B023
+        want = pick()
+        with monkeypatch.context() as m:
+            m.setattr("cohortlake.operators.estimators.FEW", -1)
+            assert pick() == want and want
+
+
 def test_methods_agree_without_covariates(data):
     found = []
     for m in METHODS:
