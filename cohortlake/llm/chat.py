@@ -11,8 +11,9 @@ backslashes are doubled and line feeds written ``\\n``.
 
 Conversations are streamed turn by turn in sorted order and never held whole: a conversation of any length needs
 the memory of one window. Null text and null role read as empty; rows without conv_id form one conversation; turns are
-ordered by turn (null first), then role, then text, so repeated rows stay, each a turn. An empty table gives no rows.
-Further columns are ignored.
+ordered by turn (null first), then role, then text, so repeated rows stay, each a turn. A very long turn has its own window.
+An empty table gives no rows. Further columns are ignored. ``formatted`` adds conversation -1: rows of the table that have this id
+already are turns of the same conversation.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ its sample tables, and gives each track's codec, time scale, duration and the by
 
 Boxes with 32-bit, 64-bit or to-the-end sizes, 32- or 64-bit chunk offsets, fixed or listed sample sizes, and
 containers with any number of tracks are read. Null text reads as empty: its payload is 192 blanks. A null or broken
-container has a null index and its error as text. Equal rows give equal values; further columns are ignored.
+container has a null index and its error as text. Equal rows give equal values; further columns are ignored. A very long text
+is one payload: its container is held whole by the task that writes it and by the one that reads it. An empty table gives no rows.
 """
 
 from __future__ import annotations

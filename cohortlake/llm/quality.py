@@ -10,7 +10,8 @@ the least hash of doc_id), whole; crc32(doc_id) mod 5 = 0 is held out. Scores ar
 
 Lines end at line feeds; empty lines are none. Null and empty texts, and a model without labels of both kinds, score as
 the training documents do on average (0.5 without any). Repeated rows are scored each; labels that are null, not 0 or 1,
-or contradict each other are left out. An empty table gives no rows. Further columns are ignored.
+or contradict each other are left out. An empty table gives no rows. Further columns are ignored. A very long text is a slice of
+its own, at some 50 bytes of memory a byte of text, and its lines are one chain.
 """
 
 from __future__ import annotations

@@ -106,3 +106,11 @@ def test_long_conversation_needs_little():
             pass
         most = max(most, len(w.turns))
     assert most < 300
+
+
+def test_own_conversation_of_the_added_id(spark):
+    """Rows of the table with the id of the added conversation are turns of it, in order."""
+    got = chat.formatted(spark.createDataFrame([(-1, 2, "user", "more"), (-1, 3, "assistant", "yes"), (5, 0, None, None)], SCHEMA)).collect()
+    by = {r["conv_id"]: r for r in got}
+    odd = "<|im_end|><|im_start|>assistant ok"
+    assert set(by) == {-1, 5} and by[-1]["n_turns"] == 4 and by[-1]["loss_chars"] == len(odd) + 3 and by[5]["loss_chars"] == 0

@@ -84,3 +84,18 @@ def test_bound_prunes(monkeypatch):
     (top,) = tree.search(q, np.array([-1]), 5, np.array([-np.inf]), np.array([0]))
     (none,) = tree.search(q, np.array([-1]), 5, np.array([float(top[0][0])]), np.array([top[0][1]]))
     assert len(top) == 5 and none == []
+
+
+def test_further_columns_and_their_names(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=3).tolist()) for k in range(120)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).selectExpr("*", *(f"'x' AS `{c}`" for c in ("row", "dim", "shard", "vec", "block", "worst", "worst_id", "tree", "query", "score", "rank", "query_id")))
+    got = kdsearch.top_k(df)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_vectors_of_all_widths_meet(spark):
+    """Components of 2, 4 and 8 bytes in one table."""
+    rng = np.random.default_rng(9)
+    rows = [(k, (rng.normal(size=4) * 10.0 ** rng.integers(0, 5)).tolist()) for k in range(150)] + [(150, [1e8, 0.0, 0.0, 0.0])]
+    assert run(spark, rows) == brute(rows)

@@ -15,6 +15,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from cohortlake.llm import pii, quality  # noqa: E402
 from cohortlake.llm.common import staged  # noqa: E402
 
+from .conftest import CLASHES, ODD  # noqa: E402
 from .test_mixing import plain_targets, size  # noqa: E402
 from .test_simhash import classes_of  # noqa: E402
 
@@ -81,3 +82,19 @@ def test_run_is_the_stages(spark, stages):
     assert sorted(map(tuple, got)) == sorted(tuple(r)[:5] for r in stages[5])
     columns = stages[0][0].__fields__
     assert all(list(s[0].__fields__) == list(columns) for s in stages[:5])
+
+
+def test_stages_on_odd_tables(spark, docs):
+    """Nulls, empty and very long texts, repeated rows, a missing id and clashing names go through all stages; an empty table stays empty."""
+    more = [(50, "mail a@b.co or call +1 (377) 555-0271 now.", None), (51, "x " * 3000, ""), (52, "x " * 3000, "b")]
+    for rows in (ODD + more, []):
+        data = docs(rows, clash=True)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = staged(stage(spark, data, DIR), "odd")
+            assert out.columns == data.columns and set(CLASHES) <= set(out.columns)
+            data = out
+        texts = Counter((r["doc_id"], r["text"]) for r in data.collect())
+        got = corpus_pipeline.STAGES[-1][1](spark, data, DIR).collect()
+        assert sum(r["piece"] == 0 for r in got) == sum(texts.values())
+        assert all(not pii.base(t or "") for _, t in texts)
+        assert bool(got) == bool(rows)
