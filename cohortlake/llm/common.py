@@ -52,10 +52,29 @@ def staged(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = Non
     if rows is not None:
         df = df.coalesce(max(1, rows // FILE_ROWS))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of staged tables that are still there, in the order they were made.
+_made: list[str] = []
+
+
+def made() -> int:
+    """How many tables are staged: what ``discard`` counts from."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes the tables staged since then, but the last ones to keep. Whatever reads them must have been written or collected."""
+    gone = _made[since : len(_made) - keep]
+    _made[since : len(_made) - keep] = []
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 #: Texts are long: Spark's defaults of 4,096 rows to a reader's batch and 10,000 to a worker's hold tens of MB at once.
 BATCH_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000")}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, made, staged
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -32,10 +32,12 @@ def components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
     nodes: how many there are at most, where that is known; it sets the number of staged files.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    since = made()
     edges = staged(edges, "edges", rows=nodes)
     state = _state(edges)
     while state[0]:
         edges = staged(_small(_large(edges)), "stars", rows=state[0])
+        discard(edges.sparkSession, since, keep=1)
         before, state = state, _state(edges)
         if before == state:
             break

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from cohortlake.llm import pii, quality  # noqa: E402
-from cohortlake.llm.common import staged  # noqa: E402
+from cohortlake.llm.common import made, staged  # noqa: E402
 
 from .conftest import CLASHES, ODD  # noqa: E402
 from .test_mixing import plain_targets, size  # noqa: E402
@@ -78,8 +78,10 @@ def test_packing(stages):
 
 
 def test_run_is_the_stages(spark, stages):
+    since = made()
     got = corpus_pipeline.run(spark, DIR).drop("sequence_id", "offset").collect()
     assert sorted(map(tuple, got)) == sorted(tuple(r)[:5] for r in stages[5])
+    assert made() <= since + 2  # the last stage's documents and pieces
     columns = stages[0][0].__fields__
     assert all(list(s[0].__fields__) == list(columns) for s in stages[:5])
 
