@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlake.llm import mixing, packing, pii, quality, simhash
-from cohortlake.llm.common import staged, table
+from cohortlake.llm.common import discard, made, staged, table
 from cohortlake.ship import ship
 
 
@@ -55,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages. Once a stage's result is written, what it was made of, the result before included, is deleted."""
+    docs, since = table(spark, sf_dir, "documents"), made()
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else staged(docs, "stage"), sf_dir)
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = staged(docs, "stage")
+            discard(spark, since, keep=1)
     return docs
