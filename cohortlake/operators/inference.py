@@ -99,9 +99,15 @@ def with_band(df: DataFrame, crit: float, att: str = "ATT") -> DataFrame:
     return df.withColumn("zero_not_in_cband", F.when(apart, "*").otherwise(""))
 
 
+#: Cells of one test at most: their covariances, a square of as many, are solved on the driver.
+MOST_TESTED = 2000
+
+
 def wald_pre_test(att: dict, psi: DataFrame, key: str, n: int) -> dict[str, float]:
     """W = n a' V^-1 a over the pre-treatment cells in att (key -> ATT) and its chi-square tail; rounded to 6 digits."""
     names = sorted(att)
+    if len(names) > MOST_TESTED:
+        raise ValueError(f"{len(names)} cells before treatment: {MOST_TESTED} at most are tested together")
     place = {name: i for i, name in enumerate(names)}
     v = np.zeros((len(names), len(names)))
     for r in covariance(psi.filter(F.col(key).isin(names)), key, n).collect():  # cells by cells: few

@@ -20,7 +20,7 @@ def data(spark):
 def found(df, out="out", x="x0", w="weights", part="part", entity="entity", year="year", first="first", split=None):
     model = ATTgt(df, first, entity_name=entity, time_name=year, strata_name=None if split else part)
     got = model.fit(f"{out} ~ {x}", est_method="reg", weights_name=w, split_sample_by=split)
-    rows = sorted(tuple(round(v, 8) if isinstance(v, float) else str(v) for v in r) for r in got.select("cohort", "time", "ATT", "std_error", "n_sample").collect())
+    rows = sorted((tuple(round(v, 8) if isinstance(v, float) else str(v) for v in r) for r in got.select("cohort", "time", "ATT", "std_error", "n_sample").collect()), key=str)
     model.close()
     return rows
 
