@@ -44,6 +44,8 @@ RATE, WITHIN = 2.0, 0.05
 HALVED = 32
 #: What rounding tries: the worth a column needs, and the share of each column's use that is rounded. The rest goes to best fit.
 WORTHS, SHARES = (0.0, 0.9, 0.995, 1 - 1e-9), (1.0, 0.97, 0.9, 0.75)
+#: Up to so many lengths, the knapsack program goes by lengths, else by capacities; both are exact.
+FEW = 64
 #: Passes end where no packing can be smaller by more than this share.
 CLOSE = 1e-4
 NEAR = 1e-9
@@ -81,6 +83,14 @@ class Prices:
     def __init__(self, values: np.ndarray, lengths: np.ndarray, capacity: int):
         self.lengths, self.capacity = lengths, capacity
         self.best, self.last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        if len(lengths) <= FEW:  # length by length, 1, 2, 4, ... pieces of it at a time
+            for k, (length, value) in enumerate(zip(lengths.tolist(), values.tolist())):
+                while length <= capacity:
+                    total = self.best[:-length] + value
+                    better = total >= self.best[length:]  # ties go to the longest
+                    self.best[length:][better], self.last[length:][better] = total[better], k
+                    length, value = 2 * length, 2 * value
+            return
         upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
         for c in range(int(lengths[0]), capacity + 1):
             n = upto[c]

@@ -7,6 +7,7 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from cohortlake.llm import packing
@@ -117,7 +118,9 @@ def test_best_fit_goes_on_from_begun_sequences():
     assert size(configs) == 3
 
 
-def test_pricing_is_the_best_configuration():
+@pytest.mark.parametrize("few", [0, 64])
+def test_pricing_is_the_best_configuration(monkeypatch, few):
+    monkeypatch.setattr(packing, "FEW", few)
     r = random.Random(2)
     for _ in range(20):
         lengths = np.array(sorted(r.sample(range(2, 15), 4)))

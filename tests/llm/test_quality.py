@@ -122,3 +122,50 @@ def test_accepted_keeps_columns(spark, docs):
     df = docs(rows, clash=True)
     kept = quality.accepted(df, labels(spark, rows))
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows if i % 3}
+
+
+def plain_lines(text):
+    """(length, own features) of every line, byte by byte."""
+    out, lines = [], [x for x in (text or "").encode().split(b"\n") if x]
+    for line in lines:
+        n, words = len(line), line.split()
+        count = lambda chars: sum(c in chars for c in line)  # noqa: E731, B023
+        upper, letters = count(range(65, 91)), sum(65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in line)
+        kinds = [count(b" \t\n\v\f\r"), upper, letters, count(b"0123456789"), count(b".,;:'\"-()"), count(b"!?"), count(b"#$%&*+=@^_~"), count(b"|<>[]{}\\/`"), sum(c >= 192 for c in line)]
+        own = [k / n for k in kinds]
+        own[1] = upper / max(letters, 1)
+        again = sum(a == b for a, b in zip(words, words[1:])) / max(len(words) - 1, 1)
+        out.append((n, [*own, np.log1p(n) / 5, letters / max(len(words), 1) / 10, again, min(lines.count(line) - 1, 3) / 3, float(line[-1:] in (b".", b"!", b"?", b'"', b")"))]))
+    return out
+
+
+def plain_score(text, model):
+    """The score by summing over all labellings of the lines."""
+    lines, none = plain_lines(text), [0.0] * quality.OWN
+    if not lines:
+        return model.prior
+    odds = []
+    for k, (_, own) in enumerate(lines):
+        x = [*own, *(lines[k - 1][1] if k else none), *(lines[k + 1][1] if k + 1 < len(lines) else none), 1.0, float(k > 0), float(k + 1 < len(lines))]
+        odds.append(sum((a - m) / s * w for a, m, s, w in zip(x, model.mean, model.scale, model.weights)))
+    total, good = 0.0, [0.0] * len(lines)
+    for labels in product((0, 1), repeat=len(lines)):
+        weight = np.exp(sum(o for o, y in zip(odds, labels) if y) + sum(model.pair[a][b] for a, b in zip(labels, labels[1:])))
+        total += weight
+        good = [g + weight * y for g, y in zip(good, labels)]
+    share = sum(n * g / total for (n, _), g in zip(lines, good)) / sum(n for n, _ in lines)
+    share = min(max(share, 1e-4), 1 - 1e-4)
+    return 1 / (1 + np.exp(-(model.slope * np.log(share / (1 - share)) + model.shift)))
+
+
+def test_scores_against_a_plain_version():
+    r = random.Random(12)
+    bits = ["the", "the", "THE", "é", "12", "a.b", "!!", "{x}", "<a>", "word", "ünï", "#$%", "(", '"', "end."]
+    texts = [None, "", "\n\n", " ", "one line", "a a a\na a a\na a a\nb", "Ünï\n\nÜnï!\r\n x  x\t x"] + [
+        "\n".join(r.choice([" ", "  ", "\t"]).join(r.choice(bits) for _ in range(r.randint(0, 8))) for _ in range(r.randint(1, 8))) for _ in range(60)
+    ]
+    rng = np.random.default_rng(3)
+    model = quality.Model(rng.normal(size=quality.WIDTH) / 5, rng.random(quality.WIDTH) + 0.5, rng.normal(size=quality.WIDTH) / 3, rng.normal(size=(2, 2)), 1.7, -0.3, 0.42)
+    got = model.scores(quality.lines_of(pa.array(texts, pa.string())), len(texts))
+    for text, score in zip(texts, got):
+        assert score == pytest.approx(plain_score(text, model), rel=1e-4), text
