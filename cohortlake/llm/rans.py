@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, broadcast_if_small, running, slices, staged, texts
+from .common import as_text, broadcast_if_small, running, slices, staged
 from .tokens import encoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -176,23 +176,28 @@ def write(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, file_id
         part, file, before = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
         lengths: list[int] = []
-        held: list[bytes] = []
-        n, tail = 0, np.array([end], dtype="<u4").tobytes()
+        held: list[np.ndarray] = []
+        n = 0
 
         def closed():
-            data = encode(np.frombuffer(b"".join(held), dtype="<u4"), names, lengths)
+            data = encode(np.concatenate(held), names, lengths)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, file, before, n, data), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "file", "before", "n_ids", "data"])
 
         for batch in batches:
             for rows in slices(batch, "text"):
-                for doc, ids in zip(rows.column(0).to_pylist(), encoder(vocabulary).ids(texts(rows))):
-                    held += (ids, tail)
+                ids, sizes = encoder(vocabulary).flat(rows.column(1))
+                ends = np.cumsum(sizes)
+                ids = np.insert(ids, ends, np.uint32(end))
+                at = 0  # so many of these ids are in files
+                for doc, upto, size in zip(rows.column(0).to_pylist(), (ends + np.arange(1, len(ends) + 1)).tolist(), (sizes + 1).tolist()):
                     names.append(doc)
-                    lengths.append(len(ids) // 4 + 1)
-                    n += lengths[-1]
+                    lengths.append(size)
+                    n += size
                     if n >= file_ids:
+                        held.append(ids[at:upto])
                         yield closed()
-                        file, before, n, names, lengths, held = file + 1, before + n, 0, [], [], []
+                        file, before, n, at, names, lengths, held = file + 1, before + n, 0, upto, [], [], []
+                held.append(ids[at:])
         if names:
             yield closed()
 

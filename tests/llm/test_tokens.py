@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -31,6 +32,42 @@ def test_encoder_equals_library(name, monkeypatch):
             assert np.frombuffer(data, "<u4").tolist() == tk.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+EDGES = [None, "", " ", "\n", "  ", "a", " a", "a ", "  b", "b  ", "\t\tx", "x\n", "\n x", "a'", "'s", " 's", "x''s", "I'll5", "5'll", "a.'re", "×é÷É", "é\u0301.", "²a1b", "’s — “q”", "你 好　x", "\xa0\nb", "a \u2028 b", "Привет, мир", "\x00a\x7f", "<|endoftext|>", "a<|endoftext|> b", "<|endoftext|"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_flat_equals_library(name, monkeypatch):
+    monkeypatch.setattr("cohortlake.llm.tokens.KEEP", 40)
+    own, tk = Encoder(public_tokenizers.path(name), name.startswith("byte")), Tokenizer.from_file(public_tokenizers.path(name))
+    r = random.Random(3)
+    for found in [EDGES, [], [None, ""], [" "], *([r.choice(EDGES) for _ in range(60)] for _ in range(20)), *(texts(200, seed) for seed in range(6))]:
+        for array in (pa.array(found, pa.string()), pa.array(["x  ", *found, " y"], pa.large_string()).slice(1, len(found))):
+            ids, sizes = own.flat(array)
+            parts = np.split(ids, np.cumsum(sizes))
+            assert len(parts.pop()) == 0 and len(sizes) == len(found)
+            for x, part in zip(found, parts):
+                assert part.tolist() == tk.encode(x or "", add_special_tokens=False).ids, repr(x)
+
+
+def test_flat_looks_up_distinct_chunks():
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *a):
+            Counted.looked += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            Counted.looked += 1
+            return super().__getitem__(k)
+
+    own = Encoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    own.young, text = Counted(), "the quick brown fox, " * 5000
+    ids, sizes = own.flat(pa.array([text] * 3))
+    assert ids.tobytes() == own.whole(text) * 3 and sizes.tolist() == [len(ids) // 3] * 3
+    assert Counted.looked < 50
+
+
 def test_counts_equal_library(monkeypatch):
     monkeypatch.setattr("cohortlake.llm.bpe_count.KEEP", 40)
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
